@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geospan.llm import bpe, chat, licenses, pii, quality, secrets
+from geospan.llm import bpe, chat, licenses, minhash, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.conversations(chat.as_messages(given.unionByName(own))))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return quality.quality(documents, quality.train(documents, _table(spark, sf_dir, "labels")))
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
     "op3_chat": op3_chat,
+    "op4_minhash": op4_minhash,
     "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,
     "op8_bpe": op8_bpe,
