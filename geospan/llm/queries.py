@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geospan.llm import bpe, chat, licenses, minhash, pii, quality, secrets
+from geospan.llm import bpe, chat, licenses, minhash, mixing, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(_table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", F.col("_domain").alias("domain"), F.coalesce("lang", F.lit(mixing.NONE)).alias("lang"), F.coalesce("source", F.lit(mixing.NONE)).alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("copies"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,
     "op8_bpe": op8_bpe,
+    "op9_mixing": op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": chat.DIGEST_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.DIGEST_SQL, "op9_mixing": mixing.MIX_SQL}
