@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geospan.llm import bpe, chat, licenses, minhash, mixing, pii, quality, secrets
+from geospan.llm import bpe, chat, licenses, minhash, mixing, pii, quality, secrets, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return quality.quality(documents, quality.train(documents, _table(spark, sf_dir, "labels")))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_chat": op3_chat,
     "op4_minhash": op4_minhash,
+    "op5_vectors": op5_vectors,
     "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,
     "op8_bpe": op8_bpe,
