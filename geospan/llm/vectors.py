@@ -27,9 +27,9 @@ from geospan.llm.common import arrow_schema, checkpointed, partitions_for
 from geospan.llm.components import components
 
 #: Nearest pivots that describe a vector, pivots that two candidates share, and the least cosine of a link.
-NEAREST, SHARED, COSINE = 8, 3, 0.9
-#: Bounds on the number of pivots, a sample of the vectors; between them it is twice the root of the table's rows.
-PIVOTS = (64, 4096)
+NEAREST, SHARED, COSINE = 10, 3, 0.9
+#: Bounds on the number of pivots, between which it is twice the root of the table's rows; cosine from which two pivots are too near.
+PIVOTS, APART = (64, 4096), 0.7
 #: Vectors of a block of a long list, and lists up to which pairs are compared side by side.
 BLOCK, SHORT = 2048, 32
 
@@ -64,11 +64,21 @@ def prepare(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def choose_pivots(vectors: DataFrame, rows: int) -> np.ndarray:
-    """The vectors whose digests come first, at most PIVOTS[1] of them, padded with zeros to the longest."""
+    """Vectors of a sample of at most twice PIVOTS[1] rows, the ones whose digests come first, padded with zeros to the longest.
+
+    One that is nearer than ``APART`` to an earlier pivot is left out: among many
+    pivots from one group of copies the order of the nearest would be chance.
+    """
     wanted = min(PIVOTS[1], max(PIVOTS[0], 1 << math.ceil(math.log2(2 * math.sqrt(rows + 1)))))
-    found = [np.frombuffer(r.x) for r in vectors.orderBy("key").limit(wanted).collect()]
+    found = [np.frombuffer(r.x) for r in vectors.orderBy("key").limit(2 * wanted).collect()]
     longest = max((len(x) for x in found), default=0)
-    return np.array([np.pad(x, (0, longest - len(x))) for x in found]).reshape(len(found), longest)
+    sample = np.array([np.pad(x, (0, longest - len(x))) for x in found]).reshape(len(found), longest)
+    free, chosen = np.ones(len(sample), bool), []
+    for at in range(len(sample)):
+        if free[at] and len(chosen) < wanted:
+            chosen.append(at)
+            free &= sample @ sample[at] < APART
+    return sample[chosen]
 
 
 def describe(vectors: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) -> DataFrame:
