@@ -27,13 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from geospan.llm.common import map_texts
+from geospan.llm.recent import Recent
 
 #: A rank beyond all.
 _NONE = 1 << 60
 #: Determinised states, and distinct pieces with their ids, that a worker keeps.
 MAX_STATES, MAX_PIECES = 150_000, 250_000
-#: Longest piece whose ids are kept whole.
-MAX_PIECE = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -180,25 +179,6 @@ class Utf8Machine:
         return len(data)
 
 
-class Recent(dict):
-    """A bounded table of what ``make`` gave: when full, only what was asked for since the last time stays."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        if len(key) <= MAX_PIECE:
-            self[key] = value
-        return value
-
-
 #: White space that calls for the pattern itself: all but the space and the line feed.
 _ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -282,6 +262,22 @@ def encode_documents(df: DataFrame, path: str | None = None, pattern: str | None
     return map_texts(df, make, "doc_id long, ids array<int>", id_col, text_col)
 
 
+def encode_and_check(df: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` of every whole text; the digest is of the bytes that the ids decode to."""
+    path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
+
+    def make():
+        own = codec(path, pattern)
+
+        def one(key, text):
+            ids = own.encode(text)
+            yield key, len(ids), ids, hashlib.sha256(own.decode_bytes(ids)).hexdigest()
+
+        return one
+
+    return map_texts(df, make, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", id_col, text_col)
+
+
 def encode_digest(df: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, decode the ids again, and return counts and digests.
 

@@ -229,9 +229,14 @@ def _links(documents: DataFrame, sets: DataFrame, percent: int, words: int, per_
 
 
 def keep_one(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose document is the first of its component, with all columns; repeated rows become one."""
-    found = near_duplicates(df, percent, id_col=id_col, text_col=text_col)
+    """The rows of ``df`` whose document is the first of its component, with all columns; repeated rows become one.
+
+    Of rows that share an id but not the text, one stays.
+    """
+    found = checkpointed(near_duplicates(df, percent, id_col=id_col, text_col=text_col).select("doc_id", "kept"))
     gone = found.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    rest = df.join(gone, id_col, "left_anti")
+    rest = df.join(gone, id_col, "left_anti").select(df.columns)
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rest
     with_id = rest.where(F.col(id_col).isNotNull())
-    return with_id.dropDuplicates([id_col]).select(df.columns).unionByName(rest.where(F.col(id_col).isNull()).select(df.columns))
+    return with_id.dropDuplicates([id_col]).unionByName(rest.where(F.col(id_col).isNull()))

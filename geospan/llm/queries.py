@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geospan.llm import bpe, chat, licenses, minhash, mixing, pii, quality, secrets, vectors
+from geospan.llm import bpe, chat, licenses, minhash, mixing, pii, quality, repeats, secrets, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", F.col("_domain").alias("domain"), F.coalesce("lang", F.lit(mixing.NONE)).alias("lang"), F.coalesce("source", F.lit(mixing.NONE)).alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("copies"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licenses": op7_licenses,
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_chat": chat.DIGEST_SQL, "op9_mixing": mixing.MIX_SQL}
