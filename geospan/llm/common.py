@@ -12,6 +12,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +81,27 @@ class Taken:
         return at > 0 and self.ends[at - 1] > start
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Sorted batches, cut so that rows with equal values in the first ``keys`` (numeric) columns stay together."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        other = np.zeros(batch.num_rows, bool)
+        for i in range(keys):
+            column = batch.column(i).to_numpy()
+            other |= column != column[-1]
+        last = np.flatnonzero(other)
+        cut = int(last[-1]) + 1 if len(last) else 0
+        held = batch.slice(cut)
+        if cut:
+            yield batch.slice(0, cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

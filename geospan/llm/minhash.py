@@ -3,14 +3,13 @@
 Documents with the same set of word shingles are one set first. Each set has a
 signature of universal hash minima, cut into bands; sets with an equal band are
 in one bucket. A bucket's centre is the set that shares the most bands with
-others; each member is compared with the centre only: signatures first, with a
+others; each member is compared with the centre: signatures first, with a
 margin that no real link falls under, then the full sets. What is then left are
-buckets whose members are in different components. For their members the
-distance d to the centre is known exactly; as 1 - Jaccard similarity is a
-metric, two of them can only be linked if their d differ by at most 1 -
-threshold. Only such pairs in different components are compared. So no pair
-that could join two components is left out, and a large group of copies costs
-one comparison for each member and band, not one for each pair.
+centres whose members are in different components. Of these, each member's
+difference to the centre is taken; the differences of two members give their
+exact similarity, so members are compared in blocks by one matrix product, and
+only edges that join components are written. No pair that shares a band and
+could join two components is left out, and no pairs of a group are emitted.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geospan.llm.common import arrow_schema, checkpointed, lower_ascii, map_texts
+from geospan.llm.common import arrow_schema, checkpointed, lower_ascii, map_texts, partitions_for, runs_of
 from geospan.llm.components import components
 from geospan.llm.recent import Recent
 
@@ -31,6 +30,8 @@ from geospan.llm.recent import Recent
 WORDS, ROWS, BANDS, PERCENT = 5, 5, 26, 85
 #: Signatures of linked sets differ by chance: pairs whose share of equal minima is this much below the threshold (six standard deviations) are not linked.
 MARGIN = 0.2
+#: Members of a block of a centre, and elements whose product is taken at once.
+BLOCK, FEATURES = 1024, 4096
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 300_000
 
@@ -131,15 +132,19 @@ def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, share double")
 
 
-def _similar(pairs: DataFrame, documents: DataFrame, words: int) -> DataFrame:
-    """``a, b, inter, uni``: sizes of the intersection and the union of the full sets of each pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+def _full_sets(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``id, s``: the whole sets of the documents wanted."""
 
     def make():
         shingler = Shingler(words)
         return lambda key, text: [(key, shingler.set_of(text).tobytes())]
 
-    full = checkpointed(map_texts(documents.join(wanted, "_id", "left_semi"), make, "id long, s binary", "_id", "_text"))
+    return checkpointed(map_texts(documents.join(ids, "_id", "left_semi"), make, "id long, s binary", "_id", "_text"))
+
+
+def _similar(pairs: DataFrame, documents: DataFrame, words: int) -> DataFrame:
+    """``a, b, inter, uni``: sizes of the intersection and the union of the full sets of each pair."""
+    full = _full_sets(documents, pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), words)
     both = pairs.join(full.withColumnsRenamed({"id": "a", "s": "x"}), "a").join(full.withColumnsRenamed({"id": "b", "s": "y"}), "b")
     schema = arrow_schema("a long, b long, inter long, uni long")
 
@@ -148,8 +153,7 @@ def _similar(pairs: DataFrame, documents: DataFrame, words: int) -> DataFrame:
             inter, uni = [], []
             xs, ys = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(xs[i].as_buffer(), np.uint64), np.frombuffer(ys[i].as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
+                both = np.concatenate((np.frombuffer(xs[i].as_buffer(), np.uint64), np.frombuffer(ys[i].as_buffer(), np.uint64)))
                 both.sort(kind="stable")
                 inter.append(int((both[1:] == both[:-1]).sum()))
                 uni.append(len(both) - inter[-1])
@@ -158,6 +162,83 @@ def _similar(pairs: DataFrame, documents: DataFrame, words: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, inter long, uni long")
 
 
+def _differences(members: DataFrame, full: DataFrame) -> DataFrame:
+    """``centre, id, component, n, d``: each member's size, and the elements that are in its set or the centre's only."""
+    both = members.join(full.withColumnsRenamed({"s": "x"}), "id").join(full.withColumnsRenamed({"id": "centre", "s": "y"}), "centre")
+    ddl = "centre long, id long, component long, n long, d binary"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        for batch in batches:
+            sizes, differ = [], []
+            for x, y in zip(batch.column(3), batch.column(4), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                sizes.append(len(x))
+                differ.append(np.setxor1d(x, np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(differ, pa.binary())], schema=schema)
+
+    return both.select("centre", "id", "component", "x", "y").select("centre", "id", "component", "x", "y").mapInArrow(run, ddl)
+
+
+def _shared(differ: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share; elements of one set only are left out of the product."""
+    sizes = np.array([len(d) for d in differ])
+    out = np.zeros((len(differ), len(differ)), np.float32)
+    if not sizes.sum():
+        return out
+    _, place, count = np.unique(np.concatenate(differ), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    common = count[place] > 1
+    rows, cols = np.repeat(np.arange(len(differ)), sizes)[common], number[place[common]]
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, FEATURES):
+        a, b = np.searchsorted(cols, (at, at + FEATURES))
+        part = np.zeros((len(differ), FEATURES), np.float32)
+        part[rows[a:b], cols[a:b] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def _joining(differences: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """``u, v``: edges that join members of a centre which are linked but in different components.
+
+    With D the difference to the centre, two sets differ in |Dx| + |Dy| - 2 |Dx
+    and Dy| elements, which with their sizes gives the similarity exactly.
+    Members are compared in blocks; one edge a member and block pair is written.
+    """
+    blocks = differences.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = differences.join(blocks, "centre").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("centre", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), "id", "component", "n", "d")
+    rows = rows.repartition(partitions, "centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi")
+    schema = arrow_schema("u long, v long")
+
+    def run(batches):
+        for batch in runs_of(batches, 3):
+            centre, lo, hi, ids, component, n = (batch.column(i).to_numpy() for i in range(6))
+            differ = [np.frombuffer(d, np.uint64) for d in batch.column(6).to_pylist()]
+            cuts = np.flatnonzero((centre[1:] != centre[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            for a, b in zip(np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(ids)])).tolist(), strict=True):
+                if b - a < 2 or (component[a:b] == component[a]).all():
+                    continue
+                size = np.array([len(d) for d in differ[a:b]])
+                apart = size[:, None] + size[None, :] - 2 * _shared(differ[a:b]).astype(np.int64)
+                total = n[a:b, None] + n[None, a:b]
+                linked = (100 * (total - apart) >= percent * (total + apart)) & (component[a:b, None] != component[None, a:b])
+                label = ids[a:b].copy()
+                while True:
+                    low = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1))
+                    if (low == label).all():
+                        break
+                    label = low
+                moved = label != ids[a:b]
+                if moved.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][moved]), pa.array(label[moved])], schema=schema)
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
 def near_duplicates(df: DataFrame, percent: int = PERCENT, words: int = WORDS, rows: int = ROWS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row for each row of ``df``.
 
@@ -204,28 +285,15 @@ def _links(documents: DataFrame, sets: DataFrame, percent: int, words: int, per_
     linked = sizes.where(F.col("inter") * 100 >= F.col("uni") * percent)
     first = checkpointed(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
-    # Buckets whose members are not all in one component.
-    named = placed.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    left = named.join(mixed, "band", "left_semi")
-    # Distance to the centre, from and to: 0 for itself, exact if the sets were compared, else what the signatures tell.
-    exact = 1 - F.col("inter") / F.col("uni")
-    apart = looked.join(sizes, ["a", "b"], "left").select("a", "b", F.coalesce(exact, 1 - F.col("share") - MARGIN).alias("lo"), F.coalesce(exact, 1 - F.col("share") + MARGIN).alias("hi"))
-    own = F.col("id") == F.col("centre")
-    left = left.withColumn("a", F.least("id", "centre")).withColumn("b", F.greatest("id", "centre")).join(apart, ["a", "b"], "left")
-    left = checkpointed(left.where(~own).select("band", "id", "component", "lo", "hi"))
+    # Centres whose members are not all in one component.
+    named = placed.select("centre", "id").distinct().join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = named.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("centre")
+    left = checkpointed(named.join(mixed, "centre", "left_semi").select("centre", "id", "component"))
     if left.isEmpty():
         return first
-    reach = 1 - percent / 100 + 1e-9
-    x, y = left.alias("x"), left.alias("y")
-    close = (F.col("x.lo") - F.col("y.hi") <= reach) & (F.col("y.lo") - F.col("x.hi") <= reach)
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & close)
-    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(looked.select("a", "b"), ["a", "b"], "left_anti")
-    more = checkpointed(_agreeing(pairs, sets).where(F.col("share") >= least).select("a", "b"))
-    if more.isEmpty():
-        return first
-    extra = _similar(more, documents, words).where(F.col("inter") * 100 >= F.col("uni") * percent)
-    return components(extra.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    full = _full_sets(documents, left.select(F.explode(F.array("centre", "id")).alias("_id")).distinct(), words)
+    more = checkpointed(_joining(_differences(left, full), percent, partitions_for(documents.sparkSession)))
+    return components(more.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
 def keep_one(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
