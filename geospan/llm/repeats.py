@@ -34,8 +34,8 @@ from geospan.llm.suffixes import common_with_previous, suffix_array, words_at
 
 #: Bytes of a repeated string, and of the grams whose hashes name a window.
 SIZE, GRAM = 50, 16
-#: Bytes of text in a block, of the input for each shard, and of windows named at once.
-BLOCK_BYTES, SHARD_BYTES, AT_ONCE = 2_000_000, 8_000_000, 1_000_000
+#: Bytes of text in a block, of packed text for each shard, and windows named at once.
+BLOCK_BYTES, SHARD_BYTES, AT_ONCE = 1_500_000, 1_500_000, 400_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _M = np.uint64(0xFF51AFD7ED558CCD)
@@ -355,7 +355,7 @@ def repeated_bytes(df: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     blocks = checkpointed(pack_blocks(df, id_col, text_col, block_bytes))
     if shards is None:
         total = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-        shards = max(partitions_for(spark), -(-2 * total // SHARD_BYTES))
+        shards = max(partitions_for(spark), -(-total // SHARD_BYTES))
     spread = blocks.repartition(partitions_for(spark), "block")
     marks = _answer_names(_send_names(blocks, size, shards)).groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("marks"))
     marks = checkpointed(marks)  # a bit for each name: a small part of the text
