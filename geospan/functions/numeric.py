@@ -73,6 +73,6 @@ def human_size(size: Column) -> Column:
     out, units = None, ["B", "KB", "MB", "GB", "TB"]
     value = size.cast("double")
     for i, unit in enumerate(units):
-        text = F.concat(F.format_string("%.1f", value / float(1024**i)), F.lit(f" {unit}"))
+        text = F.concat(F.format_string("%.1f", F.bround(value / float(1024**i), 1)), F.lit(f" {unit}"))
         out = F.when(value < float(1024 ** (i + 1)), text) if out is None else out.when(value < float(1024 ** (i + 1)), text)
-    return out.otherwise(F.concat(F.format_string("%.1f", value / float(1024**5)), F.lit(" PB")))
+    return out.otherwise(F.concat(F.format_string("%.1f", F.bround(value / float(1024**5), 1)), F.lit(" PB")))

@@ -133,7 +133,8 @@ def shifted_tiles(df: DataFrame, height: int, width: int, size: int = 512, overl
     out = df
     for name, position, length in (("tile_row", "row", height), ("tile_col", "col", width)):
         starts = F.array(*(F.struct(F.lit(i).cast("long").alias("n"), F.lit(s).cast("long").alias("s")) for i, s in enumerate(shifted_starts(length, size, overlap))))
-        held = F.filter(starts, lambda t, p=position: (t["s"] <= F.col(p)) & (F.col(p) < t["s"] + size))
+        at = F.col(position)
+        held = F.filter(starts, lambda t: (t["s"] <= at) & (at < t["s"] + size))  # noqa: B023
         out = out.withColumn("_t", F.explode(held)).withColumn(name, F.col("_t.n")).withColumn(f"{name}_start", F.col("_t.s")).drop("_t")
     return out
 
