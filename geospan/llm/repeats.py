@@ -84,6 +84,22 @@ def pack_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BL
     return df.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, ddl)
 
 
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes from each position that has so many."""
+    w, n = words_at(data), len(data) - gram + 1
+    h = w[:n] * _A + w[gram - 8 : gram - 8 + n] * _B if gram >= 8 else (w[:n] & np.uint64((1 << (8 * gram)) - 1)) * _A
+    h ^= h >> np.uint64(32)
+    h *= _M
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _spread(least: np.ndarray) -> np.ndarray:
+    """Least hashes are small; mixed once more, they fall evenly on the shards."""
+    x = (least ^ (least >> np.uint64(31))) * _B
+    return x ^ (x >> np.uint64(30))
+
+
 class Block:
     """A block's documents, and the stretches of windows that share a name."""
 
@@ -111,14 +127,7 @@ class Block:
         for at in range(0, n, AT_ONCE):
             count = min(AT_ONCE, n - at)
             part = self.data[at : at + count + self.size - 1]
-            w = words_at(part)
-            if gram >= 8:
-                h = w[: len(part) - gram + 1] * _A + w[gram - 8 : len(part) - 7] * _B
-            else:
-                h = (w & np.uint64((1 << (8 * gram)) - 1))[: len(part) - gram + 1] * _A
-            h ^= h >> np.uint64(32)
-            h *= _M
-            h ^= h >> np.uint64(29)
+            h = _gram_hashes(part, gram)
             least, reach = h, 1
             while 2 * reach <= per_window:
                 least = np.minimum(least[:-reach], least[reach:])
@@ -128,7 +137,7 @@ class Block:
             new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (usable[at + 1 : at + count] != usable[at : at + count - 1]))))
             changes.append(new + at)
             values.append(least[new])
-        starts, names = np.concatenate(changes), np.concatenate(values)
+        starts, names = np.concatenate(changes), _spread(np.concatenate(values))
         ends = np.concatenate((starts[1:], [n]))
         good = usable[starts]
         return starts[good], ends[good], names[good]
@@ -254,6 +263,18 @@ def _send_contents(marked: DataFrame, size: int, shards: int) -> DataFrame:
     return marked.mapInArrow(run, ddl)
 
 
+def _share_names(texts: list[bytes], size: int) -> np.ndarray:
+    """Which contents have the name of another one."""
+    gram = min(GRAM, size)
+    first = np.cumsum([0, *(len(t) for t in texts[:-1])])
+    h = _gram_hashes(np.frombuffer(b"".join(texts), np.uint8), gram)
+    names = h[first].copy()
+    for i in range(1, size - gram + 1):
+        np.minimum(names, h[first + i], out=names)
+    _, place, count = np.unique(names, return_inverse=True, return_counts=True)
+    return count[place] > 1
+
+
 def smallest_documents(texts: list[bytes], least: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of the texts, one after the other, the smallest document that holds it.
 
@@ -296,14 +317,24 @@ def _answer_contents(sent: DataFrame, size: int) -> DataFrame:
         every = np.concatenate([w for _, _, w in messages])
         low = np.full(len(number), _NEVER)
         np.minimum.at(low, every, np.concatenate(lows))
-        found, first = smallest_documents(list(number), low, size)
-        # Runs of equal answers in each content.
-        new = np.concatenate(([True], found[1:] != found[:-1]))
-        new[first[:-1]] = True
-        at = np.flatnonzero(new & (found != _NEVER))
-        stop = np.concatenate((np.flatnonzero(new)[1:], [len(found)]))[np.searchsorted(np.flatnonzero(new), at)]
-        owner = np.searchsorted(first, at, "right") - 1
-        value, end = found[at], stop - first[owner]
+        texts = list(number)
+        # The only content of its name shares no window with another one: its own smallest document is the answer.
+        shares = _share_names(texts, size)
+        owner, end, value = np.flatnonzero(~shares), np.array([len(t) for t in texts])[~shares] - size + 1, low[~shares]
+        some = np.flatnonzero(shares)
+        if len(some):
+            found, first = smallest_documents([texts[i] for i in some.tolist()], low[some], size)
+            # Runs of equal answers in each content.
+            new = np.concatenate(([True], found[1:] != found[:-1]))
+            new[first[:-1]] = True
+            every_run = np.flatnonzero(new)
+            stop = np.concatenate((every_run[1:], [len(found)]))
+            asked = found[every_run] != _NEVER
+            at, stop = every_run[asked], stop[asked]
+            own = np.searchsorted(first, at, "right") - 1
+            owner, end, value = np.concatenate((owner, some[own])), np.concatenate((end, stop - first[own])), np.concatenate((value, found[at]))
+            order = np.argsort(owner, kind="stable")
+            owner, end, value = owner[order], end[order], value[order]
         begin = np.searchsorted(owner, np.arange(len(number) + 1))
         counts = np.diff(begin)
         rows = []
