@@ -3,9 +3,9 @@
 The labelled credentials of a format go into a prefix tree with counts. States
 whose outgoing frequencies agree by Hoeffding's bound, and whose successors do,
 are merged (state merging in breadth-first order), which leaves a small
-probabilistic automaton per format. A candidate's score is its log likelihood
-per character under the best automaton, less that under a model of ordinary
-words; candidates above a threshold are secrets.
+probabilistic automaton per format. A candidate's score is its log likelihood under
+the best automaton, less that under a model of ordinary words; candidates
+above a threshold are secrets.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 
 #: Labelled credentials of each format that the automata are fitted on (a bounded sample), confidence of the state merging, and the least score of a secret.
-EXAMPLES, ALPHA, LEAST = 400, 0.05, 1.0
+EXAMPLES, ALPHA, LEAST = 400, 0.05, 2.0
 #: Characters of a candidate that the automata read; longer ones are data, not credentials, unless a format takes them whole.
 LONGEST = 4096
 
@@ -178,11 +178,11 @@ class Scorer:
             self.formats[name] = (prefix, Automaton((text[len(prefix) :] for text in texts), alpha))
 
     def score(self, text: str) -> tuple[float, str]:
-        """The best format's log-likelihood ratio per character, and the format."""
+        """The best format's log-likelihood ratio, and the format."""
         if len(text) > LONGEST:
             return -math.inf, ""
-        plain = sum(map(_plain, text, "^" + text)) / len(text)
-        best, name = max((automaton.log_likelihood(text[len(prefix) :]) / len(text) if text.startswith(prefix) else -math.inf, name) for name, (prefix, automaton) in self.formats.items())
+        plain = sum(map(_plain, text, "^" + text))
+        best, name = max((automaton.log_likelihood(text[len(prefix) :]) if text.startswith(prefix) else -math.inf, name) for name, (prefix, automaton) in self.formats.items())
         return best - plain, name
 
 
@@ -191,10 +191,10 @@ def _plain(char: str, before: str) -> float:
     kind, last = character_class(char), character_class(before)
     kind, last = ("l" if k == "h" else k for k in (kind, last))
     if kind == last:
-        return {"l": math.log(0.9 / 12), "d": math.log(0.7 / 10), "U": math.log(0.8 / 15)}.get(kind, math.log(0.3))
+        return {"l": math.log(0.9 / 12), "d": math.log(0.6 / 10), "U": math.log(0.6 / 15)}.get(kind, math.log(0.3))
     if last == "^":
         return {"l": math.log(0.6 / 15), "d": math.log(0.1 / 10), "U": math.log(0.3 / 15)}.get(kind, math.log(0.02))
-    return {"l": math.log(0.1 / 15 if last == "d" else 0.5 / 15), "d": math.log(0.02 / 10), "U": math.log(0.02 / 15)}.get(kind, math.log(0.02))
+    return {"l": math.log(0.05 / 15 if last == "d" else 0.25 / 15), "d": math.log(0.01 / 10), "U": math.log(0.01 / 15)}.get(kind, math.log(0.02))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
