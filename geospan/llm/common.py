@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that are held as Python strings at once.
-ROWS_AT_ONCE = 256
+#: Rows that are held as Python strings at once, and bytes of an Arrow batch where the session leaves the default.
+ROWS_AT_ONCE, BATCH = 256, "16m"
+# Freed Arrow buffers go back to the system, so that workers of one executor don't all keep their peaks.
+pa.set_memory_pool(pa.system_memory_pool())
 #: Arrow type of each SQL type name used in the operators' schemas.
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
@@ -50,6 +52,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[object, str], Iterable
     ``ddl``. Few rows are held as Python objects at a time.
     """
     schema, keep = arrow_schema(ddl), list(keep)
+    lean_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
@@ -109,9 +112,17 @@ def partitions_for(spark: SparkSession) -> int:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the reliable checkpoint folder that the cluster names."""
     ensure_checkpoint_dir(df.sparkSession)
+    lean_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than the default, unless the session asks for a size of its own: texts are long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "") in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(name, BATCH)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():

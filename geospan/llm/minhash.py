@@ -30,10 +30,10 @@ from geospan.llm.recent import Recent
 WORDS, ROWS, BANDS, PERCENT = 5, 5, 26, 85
 #: Signatures of linked sets differ by chance: pairs whose share of equal minima is this much below the threshold (six standard deviations) are not linked.
 MARGIN = 0.2
-#: Members of a block of a centre, and elements whose product is taken at once.
-BLOCK, FEATURES = 1024, 4096
+#: Members and bytes of differences in a block of a centre, and elements whose product is taken at once.
+BLOCK, BLOCK_BYTES, FEATURES = 1024, 4_000_000, 2048
 #: Words whose hashes a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -207,7 +207,7 @@ def _joining(differences: DataFrame, percent: int, partitions: int) -> DataFrame
     and Dy| elements, which with their sizes gives the similarity exactly.
     Members are compared in blocks; one edge a member and block pair is written.
     """
-    blocks = differences.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = differences.groupBy("centre").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("d")) / BLOCK_BYTES)).cast("int").alias("blocks"))
     rows = differences.join(blocks, "centre").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("centre", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), "id", "component", "n", "d")
