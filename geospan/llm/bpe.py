@@ -31,8 +31,8 @@ from geospan.llm.recent import Recent
 
 #: A rank beyond all.
 _NONE = 1 << 60
-#: Determinised states, and distinct pieces with their ids, that a worker keeps.
-MAX_STATES, MAX_PIECES = 150_000, 250_000
+#: Determinised states, pairs of tokens, and distinct pieces with their ids, that a worker keeps.
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 150_000, 500_000, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -75,7 +75,7 @@ class Transducer:
         """Whether the canonical encoding of the joint bytes is these two tokens."""
         known = self.pairs.get((first, then))
         if known is None:
-            if len(self.pairs) > 20 * MAX_STATES:
+            if len(self.pairs) > MAX_PAIRS:
                 self.pairs.clear()
             a, b = self.tokens.get(first, b""), self.tokens[then]
             known = self.pairs[first, then] = self._merged(a + b) == ([a, b] if a else [b])

@@ -119,7 +119,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def lean_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches than the default, unless the session asks for a size of its own: texts are long."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "") in ("67108864b", "67108864", "64m", "64MB"):
+    if spark.conf.get(name) in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set(name, BATCH)
 
 
