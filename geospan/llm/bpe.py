@@ -95,18 +95,30 @@ class Transducer:
             self.start = self._state((b"", ((0, -1),)))
         tail, live = state[1]
         tail += bytes((byte,))
-        for at, before in live:
-            token = self.ranks.get(tail[at:])
-            if token is not None and self._follows(before, token):
-                break
-        else:
-            raise ValueError(f"the vocabulary has no token for byte {byte}")
-        still = [(o, t) for o, t in live if tail[o:] in self.prefixes] + [(len(tail), token)]
-        first = still[0][0]
-        to = self._state((tail[first:], tuple((o - first, t) for o, t in still)))
-        known = state[0][byte] = (to, token, len(tail) - at)
+        token, at = self._ending(tail, live)
+        prefixes, first, still = self.prefixes, -1, []
+        for o, t in live:
+            if tail[o:] in prefixes:
+                if first < 0:
+                    first = o
+                still.append((o - first, t))
+        if first < 0:
+            first = len(tail)
+        still.append((len(tail) - first, token))
+        known = state[0][byte] = (self._state((tail[first:], tuple(still))), token, len(tail) - at)
         return known
 
+    def _ending(self, tail: bytes, live: tuple) -> tuple[int, int]:
+        """The token that ends with the tail's last byte, and where it starts."""
+        ranks, pairs = self.ranks, self.pairs
+        for at, before in live:
+            token = ranks.get(tail[at:])
+            if token is not None:
+                follows = pairs.get((before, token))
+                if follows or (follows is None and self._follows(before, token)):
+                    return token, at
+        raise ValueError(f"the vocabulary has no token for byte {tail[-1]}")
+
     def encode_stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
         """Ids of one piece that arrives in parts, each as soon as it is certain."""
         state, ends = self.start, []  # of the bytes not yet covered by emitted tokens: the token that ends there, and its length
@@ -146,11 +158,25 @@ class Transducer:
         if len(piece) > 4 * self.longest:
             return list(self.encode_stream((piece,)))
         state, ends, step = self.start, [], self._step
-        for byte in piece:
+        for byte in piece[:-1]:
             known = state[0].get(byte) or step(state, byte)
             state = known[0]
-            ends.append(known[1:])
-        return self._back(ends, len(ends))
+            ends.append(known)
+        # After the last byte no state is needed.
+        known = state[0].get(piece[-1])
+        if known is None:
+            tail, live = state[1]
+            tail += piece[-1:]
+            token, at = self._ending(tail, live)
+            out, to = [token], len(piece) - len(tail) + at
+        else:
+            out, to = [known[1]], len(piece) - known[2]
+        while to > 0:
+            _, token, size = ends[to - 1]
+            out.append(token)
+            to -= size
+        out.reverse()
+        return out
 
 
 class Utf8Machine:
@@ -201,7 +227,14 @@ class Codec:
         return ids, " ".join(map(str, ids))
 
     def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        return self._whole(" " + chunk)
+        """A space and the chunk; a word with at most one mark behind it needs no pattern."""
+        if chunk.isalpha():
+            ids = self.pieces[" " + chunk]
+        elif chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
+            ids = self.pieces[" " + chunk[:-1]] + self.pieces[chunk[-1]]
+        else:
+            return self._whole(" " + chunk)
+        return ids, " ".join(map(str, ids))
 
     def _parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         """Ids, and the ids in decimal, of consecutive parts of the text."""
