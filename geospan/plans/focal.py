@@ -71,9 +71,9 @@ def twi(spark, sf_dir):
 def near(k: int, values: str, src: str = "d", kc: int | None = None) -> str:
     """SQL of means over k x kc pixels of mirrored neighbours."""
     kc = kc or k
-    return f"""(SELECT p.row, p.col, {values} FROM (SELECT row, col FROM {src}) p, range({-(k // 2)}, {k - k // 2}) a(i), range({-(kc // 2)}, {kc - kc // 2}) b(j), dims
- JOIN {src} q ON q.row = least((p.row + i) % (2 * h) + CASE WHEN p.row + i < 0 THEN 2 * h ELSE 0 END, 2 * h - 1 - ((p.row + i) % (2 * h) + CASE WHEN p.row + i < 0 THEN 2 * h ELSE 0 END))
- AND q.col = least((p.col + j) % (2 * w) + CASE WHEN p.col + j < 0 THEN 2 * w ELSE 0 END, 2 * w - 1 - ((p.col + j) % (2 * w) + CASE WHEN p.col + j < 0 THEN 2 * w ELSE 0 END)) GROUP BY p.row, p.col)"""
+    fold = lambda x, n: f"least(({x}) % (2 * {n}) + CASE WHEN {x} < 0 THEN 2 * {n} ELSE 0 END, 2 * {n} - 1 - (({x}) % (2 * {n}) + CASE WHEN {x} < 0 THEN 2 * {n} ELSE 0 END))"
+    return f"""(SELECT p.row, p.col, {values} FROM (SELECT row, col, {fold("row + i", "h")} AS r, {fold("col + j", "w")} AS c FROM (SELECT row, col FROM {src}) CROSS JOIN (SELECT unnest(range({-(k // 2)}, {k - k // 2})) AS i) CROSS JOIN (SELECT unnest(range({-(kc // 2)}, {kc - kc // 2})) AS j) CROSS JOIN dims) p
+ JOIN {src} q ON q.row = p.r AND q.col = p.c GROUP BY p.row, p.col)"""
 
 
 BASE = f"d AS (SELECT row, col, z / 1000 AS z FROM {DEM_SQL}), dims AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM d)"
@@ -164,7 +164,7 @@ MASK = f"m AS (SELECT row, col, CAST(z > 150000 AS INTEGER) AS mask FROM {DEM_SQ
 def _step(src: str, of: str) -> str:
     """Erosion or dilation by 3 x 3 ones with zeros beyond the edge."""
     value = "CAST(sum(q.mask) = 9 AS INTEGER)" if of == "min" else "max(q.mask)"
-    return f"(SELECT p.row, p.col, {value} AS mask FROM {src} p JOIN {src} q ON q.row BETWEEN p.row - 1 AND p.row + 1 AND q.col BETWEEN p.col - 1 AND p.col + 1 GROUP BY p.row, p.col)"
+    return f"(SELECT p.row, p.col, {value} AS mask FROM (SELECT row, col, row + i AS r, col + j AS c FROM {src} CROSS JOIN (SELECT unnest(range(-1, 2)) AS i) CROSS JOIN (SELECT unnest(range(-1, 2)) AS j)) p JOIN {src} q ON q.row = p.r AND q.col = p.c GROUP BY p.row, p.col)"
 
 
 def _morphology(name: str, sql: str) -> None:
