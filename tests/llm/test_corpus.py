@@ -457,3 +457,24 @@ def test_pipeline(spark):
     assert all(not plain_secrets(r.text.replace("[secret]", " ")) for r in clean.collect())
     assert Counter(r.doc_id for r in mixed.collect()).keys() <= {r.doc_id for r in clean.collect()}
     assert encoded.count() == mixed.count()
+
+
+def test_pipeline_similarity(spark, documents):
+    """Pairs of similarity 0.80 to 0.85 are near-duplicates in the stage, and are none in op4."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    made = []
+    for k in range(30):
+        base = [f"w{rng.randint(0, 99999)}" for _ in range(100)]
+        copy = list(base)
+        for at in (30, 60):
+            copy[at] = f"n{rng.randint(0, 99999)}"
+        made += [(10_000 + k, " ".join(base)), (20_000 + k, " ".join(copy))]
+    df = documents.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    sets = {i: plain_set(t) for i, t in texts(df)}
+    wanted = plain_components(sets, percent=80)
+    assert all(wanted[20_000 + k] == 10_000 + k for k in range(30))
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, FOLDER).collect()} == {i for i, c in wanted.items() if i == c}
+    own = {r.doc_id: r.component_id for r in queries.op4_minhash(spark, FOLDER).collect()}
+    assert own == plain_components({i: plain_set(t) for i, t in texts(documents)}, percent=85)
