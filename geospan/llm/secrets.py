@@ -5,7 +5,9 @@ whose outgoing frequencies agree by Hoeffding's bound, and whose successors do,
 are merged (state merging in breadth-first order), which leaves a small
 probabilistic automaton per format. A candidate's score is its log likelihood under
 the best automaton, less that under a model of ordinary words; candidates
-above a threshold are secrets.
+above a threshold are secrets. Candidates also start and end within a run of
+their characters: behind and before the characters that join names and values,
+and wherever a format's literal prefix is.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterable
 
@@ -29,7 +32,10 @@ _ASSIGN = re.compile(
 _CUES = ("pass", "secret", "token", "key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
+#: Least characters of a candidate, runs of a candidate's characters, and the characters before or behind which one may start or end within a run.
+SHORTEST = 16
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+_JOINTS = frozenset("+/=_-")
 
 #: Labelled credentials of each format that the automata are fitted on (a bounded sample), confidence of the state merging, and the least score of a secret.
 EXAMPLES, ALPHA, LEAST = 400, 0.05, 2.0
@@ -185,6 +191,77 @@ class Scorer:
         best, name = max((automaton.log_likelihood(text[len(prefix) :]) if text.startswith(prefix) else -math.inf, name) for name, (prefix, automaton) in self.formats.items())
         return best - plain, name
 
+    def spans(self, text: str) -> list[tuple[int, int, float]]:
+        """``(start, end, score)`` of the credentials in the run ``text``.
+
+        From the left, each format takes the first start from which it scores
+        enough and the furthest end at which it does; what overlaps is one span
+        with the best score. What can still be scored from a state at a place is
+        kept for the starts that come to it later, so long runs cost linear time.
+        """
+        n, symbols = len(text), [character_class(c) for c in text]
+        plain = list(map(_plain, text, "^" + text))
+        ends = [c in _JOINTS for c in text] + [True]
+        begins = [0, *(i + 1 for i in range(n) if ends[i])]
+        found: list[tuple[int, int]] = []
+        for prefix, automaton in self.formats.values():
+            known: dict[tuple[int, int], float] = {}
+            done = 0
+            for s in (m.start() for m in re.finditer(f"(?={re.escape(prefix)})", text)) if prefix else begins:
+                if s < done or s + SHORTEST > n:
+                    continue
+                far = _furthest(automaton, s, s + len(prefix), text, symbols, plain, ends, known)
+                if far:
+                    found.append((s, far))
+                    done = far
+        out: list[tuple[int, int, float]] = []
+        for s, e in sorted(found):
+            value = self.score(text[s:e])[0]
+            if value < LEAST - 1e-6:  # the sums are the same but for their order
+                continue
+            if out and s < out[-1][1]:
+                out[-1] = (out[-1][0], max(e, out[-1][1]), max(value, out[-1][2]))
+            else:
+                out.append((s, e, value))
+        return out
+
+
+def _furthest(automaton: Automaton, s: int, at: int, text: str, symbols: list[str], plain: list[float], ends: list[bool], known: dict[tuple[int, int], float]) -> int:
+    """The furthest end at which a candidate from ``s``, whose format's prefix ends at ``at``, scores ``LEAST``; 0 if there is none."""
+    n, state = len(symbols), 0
+    value = plain[s] - _plain(text[s], "^") - sum(plain[s:at])
+    while at < s + SHORTEST:
+        step = automaton.steps[state].get(symbols[at])
+        if step is None:
+            return 0
+        value += step[1] - _SIZE.get(symbols[at], 0.0) - plain[at]
+        state, at = step[0], at + 1
+
+    # The best that can be added from each place and state on the way, from its end backwards.
+    way, i, q = [], at, state
+    while (i, q) not in known:
+        step = automaton.steps[q].get(symbols[i]) if i < n else None
+        if step is None:
+            known[i, q] = automaton.stop[q] if ends[i] else -math.inf
+            break
+        way.append((i, q, step[1] - _SIZE.get(symbols[i], 0.0) - plain[i]))
+        i, q = i + 1, step[0]
+    best = known[i, q]
+    for i, q, gain in reversed(way):
+        best = max(best + gain, automaton.stop[q]) if ends[i] else best + gain
+        known[i, q] = best
+
+    far = 0
+    while value + known[at, state] >= LEAST:
+        if ends[at] and value + automaton.stop[state] >= LEAST:
+            far = at
+        step = automaton.steps[state].get(symbols[at]) if at < n else None
+        if step is None:
+            break
+        value += step[1] - _SIZE.get(symbols[at], 0.0) - plain[at]
+        state, at = step[0], at + 1
+    return far
+
 
 def _plain(char: str, before: str) -> float:
     """Log probability of a character in ordinary words and file names: lower-case runs are likely, changes of class are not."""
@@ -209,8 +286,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _gaps(taken: Taken, start: int, end: int) -> Iterable[tuple[int, int]]:
+    """The parts of a run, long enough for a candidate, that no taken span meets."""
+    at = bisect_right(taken.ends, start)
+    while start < end:
+        stop = min(end, taken.starts[at]) if at < len(taken.starts) else end
+        if stop - start >= SHORTEST:
+            yield start, stop
+        start = taken.ends[at] if at < len(taken.starts) else end
+        at += 1
+
+
 def find(text: str, scorer: Scorer) -> list[tuple[int, str, int, float]]:
-    """``(start, kind, end, score)`` in order: base spans, and candidates that look like a credential and overlap no base span."""
+    """``(start, kind, end, score)`` in order: base spans, and candidates between them that look like a credential."""
     found = base_spans(text)
     out = []
     for s, k, e in found:
@@ -218,12 +306,8 @@ def find(text: str, scorer: Scorer) -> list[tuple[int, str, int, float]]:
         out.append((s, k, e, scorer.score(value[0] if value else text[s:e])[0]))
     taken = Taken((start, end) for start, _, end in found)
     for m in _CANDIDATE.finditer(text):
-        s, e = m.span()
-        if taken.meets(s, e):
-            continue
-        value = scorer.score(m[0])[0]
-        if value >= LEAST:
-            out.append((s, 3, e, value))
+        for a, b in _gaps(taken, *m.span()):
+            out += [(a + s, 3, a + e, value) for s, e, value in scorer.spans(text[a:b])]
     return [(s, KINDS[k], e, value) for s, k, e, value in sorted(out)]
 
 

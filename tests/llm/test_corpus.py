@@ -116,6 +116,49 @@ def test_inferred_formats_hold_out(scorer):
     assert not any(scorer.score(w)[0] >= secrets.LEAST for w in words)
 
 
+def brute_spans(scorer, text):
+    """Each format, start and end tried; ``text`` is one run."""
+    found, out, joints = [], [], "+/=_-"
+    for p, automaton in scorer.formats.values():
+        done = 0
+        for s in range(len(text)):
+            if s >= done and (text.startswith(p, s) if p else s == 0 or text[s - 1] in joints):
+                ends = [e for e in range(s + 16, len(text) + 1) if e == len(text) or text[e] in joints]
+                far = max((e for e in ends if automaton.log_likelihood(text[s + len(p) : e]) - sum(map(secrets._plain, text[s:e], "^" + text[s:e])) >= secrets.LEAST), default=0)
+                found, done = (found + [(s, far)], far) if far else (found, done)
+    for s, e in sorted(found):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def test_embedded_credentials(scorer):
+    """Credentials behind a name and '=', in a path, behind a base span, and in front of more text are found as a whole."""
+    fresh = secrets.labelled(20, seed=98)
+    hits, total = 0, 0
+    for name, examples in fresh.items():
+        for x in examples if name != "digest" else ():
+            if secrets.base_spans(x) or scorer.score(x)[0] < secrets.LEAST:
+                continue
+            for before, after in (("GITHUB_PAT=", ""), ("url?x=", ""), ("SLACK=", "="), ("https://host/", "/x"), ("name_", ""), ("in-", ""), ("zz" if scorer.formats[name][0] else "zz=", ""), ("0123456789abcdef01/", "")):
+                text = before + x + after
+                spans = [(s, e) for s, kind, e, _ in secrets.find(f"see {text} here", scorer) if kind == "token"]
+                total += 1
+                hits += any(s <= 4 + len(before) and e >= 4 + len(before) + len(x) for s, e in spans)
+    assert total > 800 and hits == total
+
+
+def test_spans_as_brute_force(scorer):
+    rng = random.Random(15)
+    fresh = [x for examples in secrets.labelled(5, seed=97).values() for x in examples]
+    parts = ["ghp_", "eyJ", "AIza", "/", "=", "-", "_", "+", "documents", "Name", "x", "20240105", "sk_live_", "AKIA"]
+    for _ in range(150):
+        text = "".join(rng.choice(fresh if rng.random() < 0.25 else parts) for _ in range(rng.randint(1, 7)))
+        assert [(s, e) for s, e, _ in scorer.spans(text)] == brute_spans(scorer, text)
+
+
 def test_automaton_merges():
     automaton = secrets.Automaton(["ab" * n for n in range(1, 30) for _ in range(20)], classes=lambda c: c)
     assert len(automaton.states) < 10 and automaton.log_likelihood("abab") > -20 and automaton.log_likelihood("ba") == float("-inf")
