@@ -39,8 +39,6 @@ _JOINTS = frozenset("+/=_-")
 
 #: Labelled credentials of each format that the automata are fitted on (a bounded sample), confidence of the state merging, and the least score of a secret.
 EXAMPLES, ALPHA, LEAST = 400, 0.05, 2.0
-#: Characters of a candidate that the automata read; longer ones are data, not credentials, unless a format takes them whole.
-LONGEST = 4096
 
 
 def labelled(n: int = EXAMPLES, seed: int = 7) -> dict[str, list[str]]:
@@ -185,8 +183,6 @@ class Scorer:
 
     def score(self, text: str) -> tuple[float, str]:
         """The best format's log-likelihood ratio, and the format."""
-        if len(text) > LONGEST:
-            return -math.inf, ""
         plain = sum(map(_plain, text, "^" + text))
         best, name = max((automaton.log_likelihood(text[len(prefix) :]) if text.startswith(prefix) else -math.inf, name) for name, (prefix, automaton) in self.formats.items())
         return best - plain, name

@@ -116,6 +116,20 @@ def test_inferred_formats_hold_out(scorer):
     assert not any(scorer.score(w)[0] >= secrets.LEAST for w in words)
 
 
+def test_long_credentials(scorer):
+    """Tokens and keys of any length, and credentials within long runs."""
+    rng = random.Random(16)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for size in (4000, 4097, 40_000):
+        token = "eyJ" + "".join(rng.choice(letters + "_-") for _ in range(size - 3))
+        key = "".join(rng.choice(letters + "+/") for _ in range(size))
+        words = "the_long_name_of_a_file_" * (size // 24)
+        assert scorer.score(token)[0] >= secrets.LEAST and scorer.score(key)[0] >= secrets.LEAST
+        for value in (token, key, "ghp_" + key[:36].replace("+", "0").replace("/", "1")):
+            text = f"x {words}={value} y"
+            assert any(kind == "token" and s <= len(words) + 3 and e == len(text) - 2 for s, kind, e, _ in secrets.find(text, scorer))
+
+
 def brute_spans(scorer, text):
     """Each format, start and end tried; ``text`` is one run."""
     found, out, joints = [], [], "+/=_-"
