@@ -45,6 +45,26 @@ def bbox_anti(spark, sf_dir):
     return V.box_join(f.where("image = 3"), f.where("image = 4"), 64.0, "anti").select("id")
 
 
+def _next_images(f):
+    """The boxes of each image under the image before; the last image is before the first."""
+    return f.withColumn("image", F.pmod(c("image") - 1, F.lit(50)))
+
+
+@query("bbox_join_images")
+def bbox_join_images(spark, sf_dir):
+    """As ``bbox_join`` over all events: the boxes of each of the 50 images with those of the next."""
+    f = _features(spark, sf_dir)
+    pairs = V.box_join(f, _next_images(f), 64.0, on=["image"])
+    return pairs.select("image", c("id").alias("a"), c("r_id").alias("b"), (c("ixmax") - c("ixmin")).alias("w"), (c("iymax") - c("iymin")).alias("h"))
+
+
+@query("bbox_anti_images")
+def bbox_anti_images(spark, sf_dir):
+    """As ``bbox_anti`` over all events: the boxes of each image that meet none of the next."""
+    f = _features(spark, sf_dir)
+    return V.box_join(f, _next_images(f), 64.0, "anti", on=["image"]).select("image", "id")
+
+
 @query("bounds", f"SELECT min(x1) AS xmin, min(y1) AS ymin, max(x2) AS xmax, max(y2) AS ymax FROM {BOXES_SQL}")
 def bounds(spark, sf_dir):
     return V.bounds(_features(spark, sf_dir))

@@ -179,3 +179,22 @@ def test_kriging_is_exact_at_samples(spark):
 def test_variogram_needs_fit():
     with pytest.raises(RuntimeError):
         K.Variogram().predict(F.lit(1.0))
+
+
+def test_box_joins_over_all_images(spark):
+    """Every event takes part; against all pairs of boxes of each image and the next."""
+    from geospan.plans.bindings import boxes
+    from geospan.plans.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = boxes(spark, folder).collect()
+    images = {r.image for r in rows}
+    wanted, alone = {}, {(r.image, r.id) for r in rows}
+    for a in rows:
+        for b in rows:
+            if (a.image + 1) % 50 == b.image and a.x1 <= b.x2 and a.x2 >= b.x1 and a.y1 <= b.y2 and a.y2 >= b.y1:
+                wanted[a.image, a.id, b.id] = (min(a.x2, b.x2) - max(a.x1, b.x1), min(a.y2, b.y2) - max(a.y1, b.y1))
+                alone.discard((a.image, a.id))
+    found = QUERIES["bbox_join_images"](spark, folder).collect()
+    assert len(images) > 2 and len(found) == len(wanted) and {(r.image, r.a, r.b): (r.w, r.h) for r in found} == wanted
+    assert sorted((r.image, r.id) for r in QUERIES["bbox_anti_images"](spark, folder).collect()) == sorted(alone)
