@@ -198,3 +198,31 @@ def test_box_joins_over_all_images(spark):
     found = QUERIES["bbox_join_images"](spark, folder).collect()
     assert len(images) > 2 and len(found) == len(wanted) and {(r.image, r.a, r.b): (r.w, r.h) for r in found} == wanted
     assert sorted((r.image, r.id) for r in QUERIES["bbox_anti_images"](spark, folder).collect()) == sorted(alone)
+
+
+def test_networks_over_all_arcs(spark):
+    """All trade arcs; against plain joins and Dijkstra's method."""
+    import heapq
+
+    from geospan.plans.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    tables = {n: spark.read.parquet(f"{folder}/{n}.parquet").toPandas() for n in ("lineitem", "orders", "customer", "supplier")}
+    customer_of, nation_of = dict(zip(tables["orders"].o_orderkey, tables["orders"].o_custkey, strict=True)), dict(zip(tables["customer"].c_custkey, tables["customer"].c_nationkey, strict=True))
+    at = dict(zip(tables["supplier"].s_suppkey, tables["supplier"].s_nationkey, strict=True))
+    pairs = {(int(nation_of[customer_of[o]]), int(at[s])) for o, s in zip(tables["lineitem"].l_orderkey, tables["lineitem"].l_suppkey, strict=True) if customer_of.get(o) in nation_of and s in at}
+    arcs = {(a, b): 1.0 + (a * 3 + b * 5) % 10 for a, b in pairs if a != b}
+    cost, queue = {}, [(0.0, 0)]
+    while queue:
+        so_far, node = heapq.heappop(queue)
+        if node not in cost:
+            cost[node] = so_far
+            for (a, b), more in arcs.items():
+                if a == node:
+                    heapq.heappush(queue, (so_far + more, b))
+    run = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, folder).collect())
+    assert any((a * 7 + b * 13) % 11 >= 2 for a, b in arcs)
+    assert run("network_arcs_all") == sorted([(a, b, w) for (a, b), w in arcs.items()] + [(b, a, w) for (a, b), w in arcs.items()])
+    assert run("sssp_all_arcs") == sorted(cost.items())
+    assert run("service_area_all_arcs") == sorted((n, w) for n, w in cost.items() if w <= 7)
+    assert run("closest_facility_all_arcs") == [min(((n, cost[n]) for n in (5, 9, 17, 21) if n in cost), key=lambda x: (x[1], x[0]))]
