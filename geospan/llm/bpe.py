@@ -4,25 +4,27 @@ The ranks are compiled into a finite-state transducer over bytes. A state is
 the set of *live boundaries*: the positions from which a vocabulary token may
 still run past the last byte read, each with the one token that ends there in
 the canonical encoding of the bytes before it. Whether a token may follow
-another is a property of the two alone (the pair is canonical exactly if their
-joint bytes encode to just these two), so the token that ends at the next byte
-is found from the state and the byte. States are determinised when first met
-and kept in a bounded table. Tokens are emitted as soon as all live boundaries
-share them: the lookahead is bounded by the longest token.
+another is a property of the two alone: no merge may cross the boundary between
+them before it is too late, which the halves that the tokens were merged from
+tell. So the token that ends at the next byte is found from the state and the
+byte. States are determinised when first met and kept in a bounded table.
+Tokens are emitted as soon as all live boundaries share them: the lookahead is
+bounded by the longest token.
 
 Decoding turns ids into bytes and bytes into text with an incremental UTF-8
 machine that carries at most three bytes from one id to the next.
+
+All tables of a worker are bounded: about 75 MB with the vocabulary.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
-import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -31,8 +33,10 @@ from geospan.llm.recent import Recent
 
 #: A rank beyond all.
 _NONE = 1 << 60
-#: Determinised states, pairs of tokens, and distinct pieces with their ids, that a worker keeps.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 150_000, 500_000, 200_000
+#: Determinised states and pairs of tokens that a worker keeps (some 700 and 90 bytes each), and bytes of its table of pieces.
+MAX_STATES, MAX_PAIRS, PIECE_BYTES = 32_000, 100_000, 40_000_000
+#: Ids whose digests are taken at once.
+AT_ONCE = 65_536
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,25 +46,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Bytes to token ids; equal to merging the lowest rank first."""
+    """Bytes to token ids; equal to merging the lowest rank first.
+
+    The ranks must be those of merges: a token of several bytes that merges can
+    make joins two tokens of lower rank last. Tokens that merges cannot make are
+    never emitted but as a whole piece.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         #: Byte strings that a longer token starts with.
         self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.left, self.right = self._halves()
+        self.pairs: dict[int, bool] = {}
         self.states: dict[tuple, tuple[dict, tuple]] = {}
         self.start = self._state((b"", ((0, -1),)))
 
-    def _merged(self, data: bytes) -> list[bytes]:
-        """The definition, for the short byte strings that compile the machine."""
+    def _merged(self, data: bytes, below: int = _NONE) -> list[bytes]:
+        """The definition, with merges of rank less than ``below``."""
         parts, get = [data[i : i + 1] for i in range(len(data))], self.ranks.get
         ranks = [get(data[i : i + 2], _NONE) for i in range(len(data) - 1)]
         while ranks:
             best = min(ranks)
-            if best == _NONE:
+            if best >= below:
                 break
             at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
@@ -71,28 +83,62 @@ class Transducer:
                 ranks[at - 1] = get(parts[at - 1] + parts[at], _NONE)
         return parts
 
+    def _halves(self) -> tuple[list[int], list[int]]:
+        """The two tokens whose merge makes each token: -1 for bytes, -2 where merges never make it."""
+        left, right = [-1] * len(self.tokens), [-1] * len(self.tokens)
+        for data, token in self.ranks.items():
+            if len(data) > 1:
+                parts = self._merged(data, token) if len(data) > 2 else [data[:1], data[1:]]
+                left[token], right[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (-2, -2)
+                if max(left[token], right[token]) >= token:
+                    raise ValueError(f"rank {token} is not above the ranks that it joins")
+        return left, right
+
     def _follows(self, first: int, then: int) -> bool:
-        """Whether the canonical encoding of the joint bytes is these two tokens."""
-        known = self.pairs.get((first, then))
+        """Whether the canonical encoding of the joint bytes is these two tokens, each canonical by itself.
+
+        Looks back in time from the finished tokens: of the parts on both sides
+        of the boundary, the one that was merged later is taken apart. The
+        boundary is crossed if the parts that met there make a token whose rank
+        comes before the merge that took one of them away; of equal ranks the
+        leftmost goes first.
+        """
+        left, right = self.left, self.right
+        if first < 0:
+            return left[then] != -2
+        key = first * len(left) + then
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > MAX_PAIRS:
+            known, until = left[then] != -2, _NONE
+            get, tokens = self.ranks.get, self.tokens
+            while known:
+                if get(tokens[first] + tokens[then], _NONE) < until:
+                    known = False
+                elif right[first] >= 0 and (first > then or left[then] < 0):
+                    until, first = first, right[first]
+                elif left[then] >= 0:
+                    until, then = then + 1, left[then]
+                else:
+                    break
+            if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            a, b = self.tokens.get(first, b""), self.tokens[then]
-            known = self.pairs[first, then] = self._merged(a + b) == ([a, b] if a else [b])
+            self.pairs[key] = known
         return known
 
     def _state(self, key: tuple) -> tuple[dict, tuple]:
         """key: the bytes since the first live boundary, and (offset in them, token that ends there) of each."""
-        return self.states.setdefault(key, ({}, key))
+        state = self.states.get(key)
+        if state is None:
+            state = ({}, key)
+            if len(self.states) < MAX_STATES:
+                self.states[key] = state
+        return state
 
     def _step(self, state: tuple[dict, tuple], byte: int) -> tuple[tuple, int, int]:
         """The next state, the token that ends with this byte, and its length."""
         known = state[0].get(byte)
         if known is not None:
             return known
-        if len(self.states) > MAX_STATES:
-            self.states.clear()
-            self.start = self._state((b"", ((0, -1),)))
         tail, live = state[1]
         tail += bytes((byte,))
         token, at = self._ending(tail, live)
@@ -105,18 +151,19 @@ class Transducer:
         if first < 0:
             first = len(tail)
         still.append((len(tail) - first, token))
-        known = state[0][byte] = (self._state((tail[first:], tuple(still))), token, len(tail) - at)
+        following = self._state((tail[first:], tuple(still)))
+        known = (following, token, len(tail) - at)
+        if following[1] in self.states:  # the table is bounded: what comes after it is full is found anew each time
+            state[0][byte] = known
         return known
 
     def _ending(self, tail: bytes, live: tuple) -> tuple[int, int]:
         """The token that ends with the tail's last byte, and where it starts."""
-        ranks, pairs = self.ranks, self.pairs
+        get, follows = self.ranks.get, self._follows
         for at, before in live:
-            token = ranks.get(tail[at:])
-            if token is not None:
-                follows = pairs.get((before, token))
-                if follows or (follows is None and self._follows(before, token)):
-                    return token, at
+            token = get(tail[at:])
+            if token is not None and follows(before, token):
+                return token, at
         raise ValueError(f"the vocabulary has no token for byte {tail[-1]}")
 
     def encode_stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
@@ -153,7 +200,7 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         """A short piece at once."""
         token = self.ranks.get(piece)
-        if token is not None and self._follows(-1, token):
+        if token is not None:
             return [token]
         if len(piece) > 4 * self.longest:
             return list(self.encode_stream((piece,)))
@@ -205,51 +252,28 @@ class Utf8Machine:
         return len(data)
 
 
-#: White space that calls for the pattern itself: all but the space and the line feed.
-_ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
 class Codec:
-    """Texts to ids and back, for one rank file and split pattern.
-
-    A single space between two characters that are no white space always starts
-    a new match of the pattern, so a text may be cut there and the ids of each
-    chunk be taken from a table.
-    """
+    """Texts to ids and back, for one rank file and split pattern. The ids of pieces that come again are kept, as bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine, self.split = Transducer(ranks), regex.compile(pattern).findall
-        self.pieces = Recent(lambda piece: tuple(self.machine.encode(piece.encode("utf-8"))), MAX_PIECES)
-        self.chunks = Recent(self._chunk, MAX_PIECES)
-
-    def _whole(self, text: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
-        return ids, " ".join(map(str, ids))
-
-    def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        """A space and the chunk; a word with at most one mark behind it needs no pattern."""
-        if chunk.isalpha():
-            ids = self.pieces[" " + chunk]
-        elif chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
-            ids = self.pieces[" " + chunk[:-1]] + self.pieces[chunk[-1]]
-        else:
-            return self._whole(" " + chunk)
-        return ids, " ".join(map(str, ids))
+        self.kind = np.dtype("H" if len(self.machine.tokens) <= 1 << 16 else "I")
+        self.pieces = Recent(self._packed, PIECE_BYTES)
+        self.decimal = list(map(str, range(len(self.machine.tokens))))
 
-    def _parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids, and the ids in decimal, of consecutive parts of the text."""
-        chunks = text.split(" ")
-        if "" in chunks or "\n " in text or " \n" in text or _ODD_SPACE.search(text):
-            return [self._whole(text)]
-        return [self._whole(chunks[0]), *map(self.chunks.__getitem__, chunks[1:])]
+    def _packed(self, piece: str) -> bytes:
+        return array(self.kind.char, self.machine.encode(piece.encode("utf-8"))).tobytes()
+
+    def encode_array(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.split(text))), self.kind)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self._parts(text)))
+        return self.encode_array(text).tolist()
 
     def encode_both(self, text: str) -> tuple[list[int], str]:
         """The ids, and the same in decimal, joined by a space."""
-        parts = self._parts(text)
-        return list(chain.from_iterable(ids for ids, _ in parts)), " ".join([said for _, said in parts])
+        ids = self.encode(text)
+        return ids, " ".join(map(self.decimal.__getitem__, ids))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.machine.tokens.__getitem__, ids))
@@ -260,6 +284,15 @@ class Codec:
             yield machine.feed(self.decode_bytes(ids[at : at + at_once]))
         yield machine.feed(b"", last=True)
 
+    def digests(self, ids: np.ndarray) -> tuple[str, str]:
+        """Of the ids in decimal joined by a space, and of the text that they decode to, as UTF-8; in parts, so that neither is held whole."""
+        said, decoded, machine = hashlib.sha256(), hashlib.sha256(), Utf8Machine()
+        for at in range(0, len(ids), AT_ONCE):
+            part = ids[at : at + AT_ONCE].tolist()
+            said.update((" " * (at > 0) + " ".join(map(self.decimal.__getitem__, part))).encode())
+            decoded.update(machine.feed(self.decode_bytes(part), last=at + AT_ONCE >= len(ids)).encode("utf-8"))
+        return said.hexdigest(), decoded.hexdigest()
+
 
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
@@ -271,44 +304,45 @@ _CODECS: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """The worker's codec; a worker serves many tasks and compiles it once."""
+    """The worker's codec; a worker serves many tasks and reads the ranks once."""
     if (path, pattern) not in _CODECS:
         _CODECS.clear()
-        gc.set_threshold(200_000, 50, 1_000)  # the tables hold no cycles: don't walk them again and again
         _CODECS[path, pattern] = Codec(read_ranks(path), pattern)
     return _CODECS[path, pattern]
 
 
-def encode_documents(df: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids`` of every whole text, one row for each row of ``df``.
-
-    Null text counts as empty and gives no ids; a null id is kept; repeated rows
-    stay repeated; no special tokens. The rank file must be readable at ``path``
-    on each executor. One narrow stage: nothing is shuffled.
-    """
+def _each(df: DataFrame, path: str | None, pattern: str | None, id_col: str, text_col: str, row, ddl: str) -> DataFrame:
+    """``row(codec, id, text)`` of every whole text. Null text counts as empty and gives no ids; a null id is kept; repeated
+    rows stay repeated; other columns are not looked at; an empty table gives no rows. One narrow stage: nothing is shuffled."""
     path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
 
     def make():
         own = codec(path, pattern)
-        return lambda key, text: [(key, own.encode(text))]
+        return lambda key, text: [row(own, key, text)]
 
-    return map_texts(df, make, "doc_id long, ids array<int>", id_col, text_col)
+    return map_texts(df, make, ddl, id_col, text_col)
 
 
-def encode_and_check(df: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded_sha256`` of every whole text; the digest is of the bytes that the ids decode to."""
-    path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
+def encode_documents(df: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids`` of every whole text, one row for each row of ``df``, without special tokens.
+
+    Null text counts as empty and gives no ids; a null id is kept; repeated rows
+    stay repeated. The rank file must be readable at ``path`` on each executor.
+    """
+    return _each(df, path, pattern, id_col, text_col, lambda own, key, text: (key, own.encode(text)), "doc_id long, ids array<int>")
 
-    def make():
-        own = codec(path, pattern)
 
-        def one(key, text):
-            ids = own.encode(text)
-            yield key, len(ids), ids, hashlib.sha256(own.decode_bytes(ids)).hexdigest()
+def encode_and_check(df: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` of every whole text; the digest is of what the ids decode to, as UTF-8.
+
+    Nulls, empty texts and repeated rows as in ``encode_documents``: no ids, and the digest of nothing, for null or empty text.
+    """
 
-        return one
+    def row(own: Codec, key, text: str):
+        ids = own.encode_array(text)
+        return key, len(ids), ids.tolist(), own.digests(ids)[1]
 
-    return map_texts(df, make, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", id_col, text_col)
+    return _each(df, path, pattern, id_col, text_col, row, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def encode_digest(df: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,18 +352,9 @@ def encode_digest(df: DataFrame, path: str | None = None, pattern: str | None =
     ``decoded_sha256`` (of the decoded bytes); nulls and repeats as in
     ``encode_documents``.
     """
-    path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
-
-    def make():
-        own = codec(path, pattern)
-
-        def one(key, text):
-            ids, said = own.encode_both(text)
-            decoded = hashlib.sha256()
-            for at in range(0, len(ids), 65536):
-                decoded.update(own.decode_bytes(ids[at : at + 65536]))
-            yield key, len(ids), hashlib.sha256(said.encode()).hexdigest(), decoded.hexdigest()
 
-        return one
+    def row(own: Codec, key, text: str):
+        ids = own.encode_array(text)
+        return key, len(ids), *own.digests(ids)
 
-    return map_texts(df, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
+    return _each(df, path, pattern, id_col, text_col, row, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

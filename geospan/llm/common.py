@@ -11,16 +11,15 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that are held as Python strings at once, and bytes of an Arrow batch where the session leaves the default.
+#: Rows that are held as Python strings at once, and bytes of an Arrow batch in steps that an operator runs itself, where the session leaves the default.
 ROWS_AT_ONCE, BATCH = 256, "16m"
-# Freed Arrow buffers go back to the system, so that workers of one executor don't all keep their peaks.
-pa.set_memory_pool(pa.system_memory_pool())
 #: Arrow type of each SQL type name used in the operators' schemas.
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
@@ -44,6 +43,20 @@ def sha256_hex(data: str | bytes) -> str:
     return hashlib.sha256(data.encode("utf-8", "surrogatepass") if isinstance(data, str) else data).hexdigest()
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, during which Arrow buffers that are freed go back to the system: workers of one executor don't all keep their peaks."""
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual = pa.default_memory_pool()
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            pa.set_memory_pool(usual)
+
+    return inside
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[object, str], Iterable[tuple]]], ddl: str, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
     """Apply a per-document Python function in Arrow batches, one narrow stage and no shuffle.
 
@@ -52,7 +65,6 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[object, str], Iterable
     ``ddl``. Few rows are held as Python objects at a time.
     """
     schema, keep = arrow_schema(ddl), list(keep)
-    lean_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
@@ -63,7 +75,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[object, str], Iterable
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))).mapInArrow(run, ddl)
+    return df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))).mapInArrow(lean(run), ddl)
 
 
 class Taken:
@@ -112,15 +124,22 @@ def partitions_for(spark: SparkSession) -> int:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the reliable checkpoint folder that the cluster names."""
     ensure_checkpoint_dir(df.sparkSession)
-    lean_batches(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
-def lean_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches than the default, unless the session asks for a size of its own: texts are long."""
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches than the default for what runs inside, unless the session asks for a size of its own: texts are long."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name) in ("67108864b", "67108864", "64m", "64MB"):
+    own = name in spark.conf.getAll
+    if not own:
         spark.conf.set(name, BATCH)
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(name)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

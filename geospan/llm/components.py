@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from geospan.llm.common import checkpointed
 
-#: Rounds before the input is taken to be wrong; each round about halves the longest way, so no graph comes near.
-MOST_ROUNDS = 100
-
 
 def _sum(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -23,13 +20,12 @@ def components(edges: DataFrame) -> DataFrame:
     ``a`` to the smaller ``b``. The large star hangs the larger neighbours of a
     node on its smallest neighbour; the small star does so with the smaller
     ones. Neither gathers a node's neighbours: the minimum is aggregated with
-    partial sums, and joined back in a join whose skewed side Spark can split.
+    partial sums, and joined back in a join whose skewed side Spark can split. Rounds go on until the
+    edges stay as they are.
     """
     edges = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
     before = _sum(edges)
-    for _ in range(MOST_ROUNDS):
-        if not before[0]:
-            break
+    while before[0]:
         ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = ends.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("b"), F.least("u", "m").alias("m"))
         edges = edges.join(least, "b").select("a", F.col("m").alias("b")).distinct()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geospan.llm.common import arrow_schema, checkpointed, lower_ascii, map_texts, partitions_for, runs_of
+from geospan.llm.common import arrow_schema, checkpointed, lean, lower_ascii, map_texts, partitions_for, runs_of
 from geospan.llm.components import components
 from geospan.llm.recent import Recent
 
@@ -32,8 +32,8 @@ WORDS, ROWS, BANDS, PERCENT = 5, 5, 26, 85
 MARGIN = 0.2
 #: Members and bytes of differences in a block of a centre, and elements whose product is taken at once.
 BLOCK, BLOCK_BYTES, FEATURES = 1024, 4_000_000, 2048
-#: Words whose hashes a worker keeps.
-KEPT_WORDS = 100_000
+#: Bytes of a task's table of word hashes.
+WORD_BYTES = 16_000_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -52,7 +52,7 @@ class Shingler:
 
     def __init__(self, words: int = WORDS):
         self.n = words
-        self.hashes = Recent(lambda word: xxhash.xxh3_64_intdigest(word, 1), KEPT_WORDS)
+        self.hashes = Recent(lambda word: xxhash.xxh3_64_intdigest(word, 1), WORD_BYTES)
 
     def set_of(self, text: str) -> np.ndarray:
         words = lower_ascii(text).encode("utf-8", "surrogatepass").split()
@@ -113,7 +113,7 @@ def _band_rows(sets: DataFrame, rows: int, bands: int) -> DataFrame:
                 total = _mix(total * _K + minima[:, :, i])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(total.ravel().view(np.int64))], schema=schema)
 
-    return sets.select("id", "sig").mapInArrow(run, "id long, band long")
+    return sets.select("id", "sig").mapInArrow(lean(run), "id long, band long")
 
 
 def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(batch.num_rows, -1) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).mean(1))], schema=schema)
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, share double")
+    return both.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long, share double")
 
 
 def _full_sets(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -159,7 +159,7 @@ def _similar(pairs: DataFrame, documents: DataFrame, words: int) -> DataFrame:
                 uni.append(len(both) - inter[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(uni, pa.int64())], schema=schema)
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, inter long, uni long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long, inter long, uni long")
 
 
 def _differences(members: DataFrame, full: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _differences(members: DataFrame, full: DataFrame) -> DataFrame:
                 differ.append(np.setxor1d(x, np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(differ, pa.binary())], schema=schema)
 
-    return both.select("centre", "id", "component", "x", "y").select("centre", "id", "component", "x", "y").mapInArrow(run, ddl)
+    return both.select("centre", "id", "component", "x", "y").select("centre", "id", "component", "x", "y").mapInArrow(lean(run), ddl)
 
 
 def _shared(differ: list[np.ndarray]) -> np.ndarray:
@@ -236,7 +236,7 @@ def _joining(differences: DataFrame, percent: int, partitions: int) -> DataFrame
                 if moved.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][moved]), pa.array(label[moved])], schema=schema)
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(lean(run), "u long, v long")
 
 
 def near_duplicates(df: DataFrame, percent: int = PERCENT, words: int = WORDS, rows: int = ROWS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,14 +297,18 @@ def _links(documents: DataFrame, sets: DataFrame, percent: int, words: int, per_
 
 
 def keep_one(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose document is the first of its component, with all columns; repeated rows become one.
+    """The rows of ``df`` whose document is the first of its component, with all columns.
 
-    Of rows that share an id but not the text, one stays.
+    Of rows that share an id, one stays: the one whose columns' digest is the
+    smallest, whatever their order. Rows without an id stay all; null and empty
+    texts are near-duplicates of nothing; an empty table gives no rows.
     """
     found = checkpointed(near_duplicates(df, percent, id_col=id_col, text_col=text_col).select("doc_id", "kept"))
     gone = found.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
     rest = df.join(gone, id_col, "left_anti").select(df.columns)
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").select(id_col)
+    if repeated.isEmpty():
         return rest
-    with_id = rest.where(F.col(id_col).isNotNull())
-    return with_id.dropDuplicates([id_col]).unionByName(rest.where(F.col(id_col).isNull()))
+    whole = F.struct(*df.columns)
+    one = rest.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("row")).select("row.*")
+    return rest.join(repeated, id_col, "left_anti").select(df.columns).unionByName(one)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geospan.llm.common import map_texts
+from geospan.llm.common import lean, map_texts
 
 # The symbols and the white space of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -213,4 +213,4 @@ def keep_good(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
             texts = batch.column(at)
             yield batch.filter(pa.array([judge(texts[i].as_py() or "", field)[6] for i in range(batch.num_rows)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

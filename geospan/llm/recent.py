@@ -1,24 +1,44 @@
-"""A bounded memory of computed values."""
+"""A memory of computed values, bounded by the bytes it takes."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from sys import getsizeof
+
+#: What a dictionary spends on an entry besides its key and value, and places of the marks of keys that were asked for once.
+ENTRY, MARKS = 60, 1 << 20
 
 
 class Recent(dict):
-    """What ``make`` gave for a key; when full, only what was asked for since the last time stays."""
+    """What ``make`` gave for a key, from the second time that it is asked for.
+
+    Most different words of a corpus come once: they leave a mark only, which
+    other words may share. At half of ``most_bytes`` only what is asked for from
+    then on stays.
+    """
 
-    def __init__(self, make: Callable, most: int, longest: int = 64):
+    def __init__(self, make: Callable, most_bytes: int, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.longest, self.old = make, most, longest, {}
+        self.make, self.half, self.longest = make, most_bytes // 2, longest
+        self.old: dict = {}
+        self.bytes = self.marked = 0
+        self.marks = bytearray(MARKS)
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
+            at = hash(key) % MARKS
+            if not self.marks[at]:
+                self.marked += 1
+                if self.marked > MARKS // 2:
+                    self.marks, self.marked = bytearray(MARKS), 1
+                self.marks[at] = 1
+                return value
         if len(key) <= self.longest:
+            self.bytes += getsizeof(key) + getsizeof(value) + ENTRY
+            if self.bytes > self.half:
+                self.old, self.bytes = dict(self), 0
+                self.clear()
             self[key] = value
         return value

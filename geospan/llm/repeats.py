@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geospan.llm.common import arrow_schema, checkpointed, partitions_for
+from geospan.llm.common import arrow_schema, checkpointed, lean, partitions_for
 from geospan.llm.suffixes import common_with_previous, suffix_array, words_at
 
 #: Bytes of a repeated string, and of the grams whose hashes name a window.
@@ -81,7 +81,7 @@ def pack_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BL
         if texts:
             yield block()
 
-    return df.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, ddl)
+    return df.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(lean(run), ddl)
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -203,7 +203,7 @@ def _send_names(blocks: DataFrame, size: int, shards: int) -> DataFrame:
             if out:
                 yield _rows(out, schema)
 
-    return blocks.mapInArrow(run, ddl)
+    return blocks.mapInArrow(lean(run), ddl)
 
 
 def _answer_names(sent: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ def _send_contents(marked: DataFrame, size: int, shards: int) -> DataFrame:
             if out:
                 yield _rows(out, schema)
 
-    return marked.mapInArrow(run, ddl)
+    return marked.mapInArrow(lean(run), ddl)
 
 
 def _share_names(texts: list[bytes], size: int) -> np.ndarray:
@@ -406,4 +406,4 @@ def repeated_bytes(df: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
                 out.append({"doc_id": int(block.ids[i]) if block.known[i] else None, "n_bytes": b - a, "n_removed": int(own.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()} | ({"kept_text": kept.decode("utf-8", "replace")} if texts else {}))
             yield _rows(out, schema)
 
-    return spread.join(marks, "block", "left").join(answers, "block", "left").mapInArrow(finish, ddl)
+    return spread.join(marks, "block", "left").join(answers, "block", "left").mapInArrow(lean(finish), ddl)

@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geospan.llm.common import Taken, lower_ascii, map_texts, sha256_hex
+from geospan.llm.common import Taken, lean, lower_ascii, map_texts, sha256_hex
 
 # Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "token")
@@ -361,7 +361,7 @@ def redact(df: DataFrame, mark: str = "[secret]", text_col: str = "text", chars_
             columns[at] = pa.array(out, texts.type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    new = df.mapInArrow(run, schema)
+    new = df.mapInArrow(lean(run), schema)
     return new.withColumn(chars_col, F.length(text_col).cast(schema[chars_col].dataType)) if chars_col and chars_col in names else new
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geospan.llm.common import arrow_schema, checkpointed, partitions_for
+from geospan.llm.common import arrow_schema, checkpointed, lean, partitions_for
 from geospan.llm.components import components
 
 #: Nearest pivots that describe a vector, pivots that two candidates share, and the least cosine of a link.
@@ -60,7 +60,7 @@ def prepare(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                 xs.append(None if x is None else _unit(x).tobytes())
             yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(xs, pa.binary())], schema=schema)
 
-    return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, key binary, x binary")
+    return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(lean(run), "vec_id long, key binary, x binary")
 
 
 def choose_pivots(vectors: DataFrame, rows: int) -> np.ndarray:
@@ -99,7 +99,7 @@ def describe(vectors: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) ->
             perm = np.concatenate(perms) if perms else np.empty((0, k), "<i2")
             yield pa.RecordBatch.from_arrays([ids, ms, xs, pa.array([p.tobytes() for p in perm], pa.binary())], schema=schema)
 
-    return vectors.select("id", "m", "x").mapInArrow(run, "id long, m long, x binary, perm binary")
+    return vectors.select("id", "m", "x").mapInArrow(lean(run), "id long, m long, x binary, perm binary")
 
 
 def _list_rows(described: DataFrame, n_pivots: int, shared: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _list_rows(described: DataFrame, n_pivots: int, shared: int) -> DataFrame:
                 key = key * n_pivots + perm[:, picks[:, i]]
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), len(picks)))], schema=schema)
 
-    return described.select("id", "perm", F.expr("octet_length(x) div 8").cast("long").alias("n")).mapInArrow(run, "key long, id long")
+    return described.select("id", "perm", F.expr("octet_length(x) div 8").cast("long").alias("n")).mapInArrow(lean(run), "key long, id long")
 
 
 def _first_common(key: np.ndarray, n_pivots: int) -> np.ndarray:
@@ -221,7 +221,7 @@ def _linked(lists: DataFrame, n_pivots: int, least: float, shared: int) -> DataF
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (a, b, la, lb)], schema=schema)
 
-    return lists.select(*names).mapInArrow(run, ddl)
+    return lists.select(*names).mapInArrow(lean(run), ddl)
 
 
 def near_vectors(df: DataFrame, least: float = COSINE, nearest: int = NEAREST, shared: int = SHARED, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
