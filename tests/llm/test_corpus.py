@@ -509,7 +509,7 @@ def test_pipeline(spark):
     good, single, clean, mixed, encoded = seen
     labels = quality.train(spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet"))
     assert {r.doc_id for r in good.collect()} == {i for i, t in texts(spark.read.parquet(f"{FOLDER}/documents.parquet")) if quality.judge(t, labels)[6]}
-    wanted = plain_components({i: plain_set(t) for i, t in texts(good)})
+    wanted = plain_components({i: plain_set(t) for i, t in texts(good)}, percent=80)
     assert {r.doc_id for r in single.collect()} == {i for i, c in wanted.items() if i == c}
     assert all(not plain_secrets(r.text.replace("[secret]", " ")) for r in clean.collect())
     assert Counter(r.doc_id for r in mixed.collect()).keys() <= {r.doc_id for r in clean.collect()}
