@@ -1,26 +1,35 @@
 """Suffix-array dedup: bytes covered by a long string that an earlier document also holds.
 
-Documents are packed into blocks of a few megabytes. Each window of ``size``
-bytes is named by its least hash of ``GRAM`` bytes (its minimiser), so that
-equal windows, wherever they are, get the same name; a run of windows with one
-name is a *stretch* of text. Three exchanges, all of packed arrays:
-
-1. Blocks send the names they hold, once each, to the shards of the names. A
-   shard answers which names are in several documents; all other text is done.
-2. Blocks send the stretches of those names, each different one once, to the
-   shards. A shard builds the suffix array of its stretches by induced sorting,
+Documents are packed into blocks of a few megabytes, a long one in pieces, and
+consecutive blocks into groups. Each window of ``size`` bytes is named by its
+least hash of ``GRAM`` bytes (its minimiser), so that equal windows, wherever they
+are, get the same name; a run of windows with one name is a *stretch* of text.
+Names are dealt to ranges of their hash. Three exchanges, all of packed arrays:
+
+1. Groups send the names they hold, once each, to the ranges. A range answers
+   which names are in several documents; all other text is done.
+2. Groups send the stretches of those names, each different one once, to the
+   ranges. A range builds the suffix array of its stretches by induced sorting,
    finds the permuted common prefixes of at least ``size`` bytes, and so the
    smallest document of each window; it answers with runs of windows.
-3. Blocks mark the bytes of windows that a smaller document holds, and count.
-
-Nothing is sent for each pair of documents; a passage in a third of all
-documents is one name and one stretch for each block. Names and answers are
+3. Groups mark the bytes of windows that a smaller document holds, and count.
+
+Groups and ranges are of bounded size and are processed one after the other, in
+the order in which the exchange sorts them; both grow with the root of the input
+up to their bound, so that messages do not get small. Nothing is sent for each
+pair of documents; a passage in a third of all documents is one name and one
+stretch for each group. A name whose stretches differ very often (a common short
+passage between different texts) is *hot*: its windows are dealt one by one, by a
+hash of all their bytes, so that no range holds them all. Names and answers are
 hints and places only: what is removed has been compared byte by byte.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +38,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geospan.llm.common import arrow_schema, checkpointed, lean, partitions_for
+from geospan.llm.common import arrow_schema, give_back, lean, partitions_for, runs_of
 from geospan.llm.suffixes import common_with_previous, suffix_array, words_at
 
 #: Bytes of a repeated string, and of the grams whose hashes name a window.
 SIZE, GRAM = 50, 16
-#: Bytes of text in a block, of packed text for each shard, and windows named at once.
-BLOCK_BYTES, SHARD_BYTES, AT_ONCE = 1_500_000, 1_500_000, 400_000
+#: Bytes of text in a block or a piece, windows named at once, and different stretches from which a name is hot.
+BLOCK_BYTES, AT_ONCE, HOT = 1_500_000, 400_000, 4096
+#: Least and most bytes of text of a group and for each range, and names that a message should hold.
+GROUP_BYTES, RANGE_BYTES, MOST_BYTES, MESSAGE = 3_000_000, 3_000_000, 24_000_000, 64
+#: Stretches of one name in a group from which their differences are counted.
+COUNTED = 32
+#: Bytes of text for each name, on average.
+SIZE_OF_NAME = 18
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _M = np.uint64(0xFF51AFD7ED558CCD)
@@ -55,30 +70,56 @@ def _unpack(data: bytes) -> bytes:
     return _codec().decompress(data[8:], size, asbytes=True) if size else b""
 
 
-def pack_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``block, ids, known, sizes, data``: consecutive documents in blocks; long documents are blocks of their own."""
-    ddl = "block long, ids binary, known binary, sizes binary, data binary"
+def pack_blocks(df: DataFrame, id_col: str, text_col: str, size: int, block_bytes: int, group_bytes: int) -> DataFrame:
+    """``group, block, ids, known, rows, pieces, own, sizes, data``: consecutive documents in blocks.
+
+    A document of more than ``block_bytes`` is cut into pieces; a piece holds
+    ``own`` bytes, and behind them the bytes that its last windows reach into.
+    ``rows`` numbers the rows of the table, ``pieces`` is -1 for whole documents.
+    """
+    ddl = "group long, block long, ids binary, known binary, rows binary, pieces binary, own binary, sizes binary, data binary"
     schema = arrow_schema(ddl)
 
     def run(batches):
-        ids, texts, size, number = [], [], 0, 0
         base = TaskContext.get().partitionId() << 32
+        held: list[tuple[int | None, int, int, int, bytes]] = []
+        now = {"bytes": 0, "block": base, "group": base, "in_group": 0, "row": base}
 
         def block():
-            known = np.array([i is not None for i in ids])
-            return pa.RecordBatch.from_pylist([{"block": base + number, "ids": np.array([0 if i is None else i for i in ids], "<i8").tobytes(), "known": known.tobytes(), "sizes": np.array([len(t) for t in texts], "<i8").tobytes(), "data": _pack(b"".join(texts))}], schema=schema)
+            ids = [h[0] for h in held]
+            row = {"group": now["group"], "block": now["block"], "ids": np.array([0 if i is None else i for i in ids], "<i8").tobytes(), "known": np.array([i is not None for i in ids]).tobytes()}
+            row |= {"rows": np.array([h[1] for h in held], "<i8").tobytes(), "pieces": np.array([h[2] for h in held], "<i4").tobytes(), "own": np.array([h[3] for h in held], "<i8").tobytes(), "sizes": np.array([len(h[4]) for h in held], "<i8").tobytes(), "data": _pack(b"".join(h[4] for h in held))}
+            now["in_group"] += now["bytes"]
+            now["block"] += 1
+            if now["in_group"] >= group_bytes:
+                now["group"], now["in_group"] = now["group"] + 1, 0
+            held.clear()
+            now["bytes"] = 0
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
+        def parts(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+            """Piece number, own bytes, and bytes; the last piece has all that is left."""
+            if len(text) <= block_bytes:
+                yield -1, len(text), text
+                return
+            cut = max(block_bytes, size)
+            starts = range(0, len(text) - size + 1, cut)
+            for number, a in enumerate(starts):
+                last = a + cut > len(text) - size
+                b = len(text) if last else a + cut
+                yield number, b - a, text[a : b if last else b + size - 1]
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    if texts and size + len(text) > block_bytes:
-                        yield block()
-                        ids, texts, size, number = [], [], 0, number + 1
-                    ids.append(i)
-                    texts.append(text)
-                    size += len(text)
-        if texts:
+                    for piece, own, data in parts(text):
+                        if held and now["bytes"] + len(data) > block_bytes:
+                            yield block()
+                        held.append((i, now["row"], piece, own, data))
+                        now["bytes"] += len(data)
+                    now["row"] += 1
+        if held:
             yield block()
 
     return df.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(lean(run), ddl)
@@ -95,20 +136,21 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def _spread(least: np.ndarray) -> np.ndarray:
-    """Least hashes are small; mixed once more, they fall evenly on the shards."""
+    """Least hashes are small; mixed once more, they fall evenly on the ranges."""
     x = (least ^ (least >> np.uint64(31))) * _B
     return x ^ (x >> np.uint64(30))
 
 
 class Block:
-    """A block's documents, and the stretches of windows that share a name."""
+    """A block's documents and pieces, and the stretches of windows that share a name."""
 
-    def __init__(self, ids: bytes, known: bytes, sizes: bytes, data: bytes, size: int):
-        self.ids, self.known, self.sizes = np.frombuffer(ids, "<i8"), np.frombuffer(known, bool), np.frombuffer(sizes, "<i8")
-        self.data, self.size = np.frombuffer(_unpack(data), np.uint8), size
+    def __init__(self, row: dict, size: int):
+        self.ids, self.known, self.rows = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["known"], bool), np.frombuffer(row["rows"], "<i8")
+        self.pieces, self.own, self.sizes = np.frombuffer(row["pieces"], "<i4"), np.frombuffer(row["own"], "<i8"), np.frombuffer(row["sizes"], "<i8")
+        self.data, self.size = np.frombuffer(_unpack(row["data"]), np.uint8), size
         self.first = np.concatenate(([0], np.cumsum(self.sizes)))
         self.starts, self.ends, self.names = self._stretches()
-        self.document = np.searchsorted(self.first, self.starts, "right") - 1
+        self.document = self.ids[np.searchsorted(self.first, self.starts, "right") - 1]
 
     def _stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First window, end of windows and name of each stretch; a window is named by where it starts."""
@@ -142,125 +184,227 @@ class Block:
         good = usable[starts]
         return starts[good], ends[good], names[good]
 
-    def sent(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct names in order: shard, 32 bits within it, whether several documents here hold it; and each stretch's place among them."""
-        order = np.argsort(self.names, kind="stable")
-        names = self.names[order]
-        # Shards are ranges of names; the next 32 bits tell names of a shard apart, rare mistakes only cost time.
-        top = (names >> np.uint64(32)) * np.uint64(shards)
-        both = ((top >> np.uint64(32)) << np.uint64(32)) | (((top & np.uint64(0xFFFFFFFF)) ^ (names & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF))
-        again = np.argsort(both, kind="stable")
-        order, both = order[again], both[again]
-        new = np.concatenate(([True], both[1:] != both[:-1])) if len(both) else np.empty(0, bool)
-        at = np.flatnonzero(new)
-        place = np.empty(len(both), np.int64)
-        place[order] = np.cumsum(new) - 1
-        ids = self.ids[self.document[order]]
-        several = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at) if len(at) else np.empty(0, bool)
-        keys = both[at]
-        return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), several, place
-
-    def contents(self, wanted: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Different stretches among the wanted ones: their bytes, smallest documents and first occurrences; and the number of each wanted one's."""
-        data, size = self.data.tobytes(), self.size
-        number: dict[bytes, int] = {}
-        which = np.empty(len(wanted), np.int64)
-        for i, (a, b) in enumerate(zip(self.starts[wanted].tolist(), self.ends[wanted].tolist(), strict=True)):
-            which[i] = number.setdefault(data[a : b + size - 1], len(number))
-        least = np.full(len(number), _NEVER)
-        np.minimum.at(least, which, self.ids[self.document[wanted]])
-        first = np.zeros(len(number), np.int64)
-        first[which[::-1]] = wanted[::-1]
-        return list(number), least, first, which
-
-
-def _slices(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    cuts = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)])) if len(shard) else np.zeros(1, np.int64)
+    def ends_differ(self) -> np.ndarray:
+        """For each stretch a number that tells apart most stretches of one name: of its length and its first and last bytes."""
+        words = words_at(self.data)
+        last = np.maximum(self.ends + self.size - 9, 0)
+        return (words[self.starts] * _A) ^ (words[last] * _B) ^ (self.ends - self.starts).astype(np.uint64)
+
+    def window_names(self, windows: np.ndarray) -> np.ndarray:
+        """A hash of all bytes of each window."""
+        if self.size <= GRAM:
+            return _spread(_gram_hashes(self.data, self.size)[windows])
+        words, total = words_at(self.data), np.zeros(len(windows), np.uint64)
+        for at in [*range(0, self.size - 7, 8), self.size - 8]:
+            total = (total ^ words[windows + at]) * _M
+            total ^= total >> np.uint64(32)
+        return _spread(total)
+
+
+def _slices(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    cuts = np.concatenate(([0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)])) if len(sorted_keys) else np.zeros(1, np.int64)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        yield int(shard[a]), a, b
+        yield int(sorted_keys[a]), a, b
+
+
+def _range_of(names: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each name, and 32 bits that tell names of a range apart; rare mistakes only cost time."""
+    top = (names >> np.uint64(32)) * np.uint64(ranges)
+    low = (top & np.uint64(0xFFFFFFFF)) ^ (names & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B1)
+    return (top >> np.uint64(32)).astype(np.int64), low & np.uint64(0xFFFFFFFF)
+
+
+class _Numbers:
+    """Consecutive numbers for different contents; single windows of hot names are apart from stretches of the same bytes."""
+
+    def __init__(self) -> None:
+        self.next = itertools.count().__next__
+        self.known = {one: defaultdict(self.next) for one in (False, True)}
+
+    def of(self, contents: Iterator[bytes], one: bool, n: int) -> np.ndarray:
+        return np.fromiter(map(self.known[one].__getitem__, contents), np.int64, n)
+
+    def all(self) -> tuple[list[bytes], np.ndarray]:
+        """The contents by number, and whether each is a single window."""
+        out, single = [b""] * sum(map(len, self.known.values())), np.zeros(sum(map(len, self.known.values())), bool)
+        for one, known in self.known.items():
+            for content, number in known.items():
+                out[number] = content
+            single[list(known.values())] = one
+        return out, single
+
+
+class Group:
+    """The blocks of a group, and their stretches one after the other."""
+
+    def __init__(self, blocks: list[dict], size: int, ranges: int):
+        self.blocks = [Block(row, size) for row in sorted(blocks, key=lambda r: r["block"])]
+        self.ranges, self.size = ranges, size
+        joined = lambda name, kind: np.concatenate([np.empty(0, kind), *(getattr(b, name) for b in self.blocks)])
+        self.starts, self.ends, names, self.document = joined("starts", np.int64), joined("ends", np.int64), joined("names", np.uint64), joined("document", np.int64)
+        self.block = np.repeat(np.arange(len(self.blocks)), [len(b.starts) for b in self.blocks])
+        self.range, low = _range_of(names, ranges)
+        key = (self.range.astype(np.uint64) << np.uint64(32)) | low
+        # The distinct names in order, and the place of each stretch's among them.
+        self.keys, self.place = np.unique(key, return_inverse=True)
+        self.place = self.place.reshape(-1)
+
+    def several(self) -> np.ndarray:
+        """Of each name, whether several documents here hold it."""
+        lo, hi = np.full(len(self.keys), _NEVER), np.full(len(self.keys), -_NEVER)
+        np.minimum.at(lo, self.place, self.document)
+        np.maximum.at(hi, self.place, self.document)
+        return lo != hi
+
+    def different(self, counted: int) -> np.ndarray:
+        """About how many different stretches each name has here, of which there are ``counted``; of others, how many stretches."""
+        count = np.bincount(self.place, minlength=len(self.keys))
+        some = np.flatnonzero(count[self.place] >= counted)
+        if len(some):
+            sort = np.concatenate([b.ends_differ() for b in self.blocks])[some]
+            pairs = np.unique(np.stack((self.place[some].astype(np.uint64), sort)), axis=1)[0].astype(np.int64)
+            new = np.bincount(pairs, minlength=len(self.keys))
+            count = np.where(count >= counted, new, count)
+        return np.minimum(count, 65535)
+
+    def units(self, marks: list[dict]) -> None:
+        """What is to be compared, after the answers to the names: stretches of shared names, and single windows of hot ones.
+
+        Sets block, first window, end and content of each unit, and of the different contents the range, bytes, smallest document, and whether they are single windows.
+        """
+        shared, hot = np.zeros(len(self.keys), bool), np.zeros(len(self.keys), bool)
+        at = {r: (a, b) for r, a, b in _slices((self.keys >> np.uint64(32)).astype(np.int64))}
+        for m in marks:
+            a, b = at[m["range"]]
+            shared[a:b], hot[a:b] = (np.unpackbits(np.frombuffer(m[c], np.uint8), count=b - a).astype(bool) for c in ("a", "b"))
+        wanted = np.flatnonzero(shared[self.place])
+        is_hot = hot[self.place[wanted]]
+        plain, cut = wanted[~is_hot], wanted[is_hot]
+        block, start, end, where = self.block[plain], self.starts[plain], self.ends[plain], self.range[plain]
+        document, alone = self.document[plain], np.zeros(len(plain), bool)
+        if len(cut):
+            n = self.ends[cut] - self.starts[cut]
+            windows = np.repeat(self.starts[cut] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            own = np.repeat(self.block[cut], n)
+            keys = np.empty(len(windows), np.uint64)
+            for k, b in enumerate(self.blocks):
+                keys[own == k] = b.window_names(windows[own == k])
+            block, start, end = np.concatenate((block, own)), np.concatenate((start, windows)), np.concatenate((end, windows + 1))
+            where, document = np.concatenate((where, _range_of(keys, self.ranges)[0])), np.concatenate((document, np.repeat(self.document[cut], n)))
+            alone = np.concatenate((alone, np.ones(len(windows), bool)))
+        numbers = _Numbers()
+        which = np.empty(len(block), np.int64)
+        for k, b in enumerate(self.blocks):
+            data = b.data.tobytes()
+            for one in (False, True):
+                here = np.flatnonzero((block == k) & (alone == one))
+                which[here] = numbers.of((data[s:e] for s, e in zip(start[here].tolist(), (end[here] + self.size - 1).tolist(), strict=True)), one, len(here))
+        texts, _ = numbers.all()
+        first = np.zeros(len(texts), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        order = np.argsort(where[first], kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        least = np.full(len(texts), _NEVER)
+        np.minimum.at(least, rank[which], document)
+        self.unit_block, self.unit_start, self.unit_document, self.content = block, start, document, rank[which]
+        self.content_range, self.content_alone, self.content_least = where[first[order]], alone[first[order]], least
+        self.content_texts = [texts[i] for i in order.tolist()]
+
+    def gone(self, answers: list[dict]) -> list[np.ndarray]:
+        """Of each block, which bytes are in a window that a smaller document holds."""
+        marks = [np.zeros(len(b.data) + 1, np.int32) for b in self.blocks]
+        if len(self.content):
+            by_range = {m["range"]: m for m in answers}
+            runs, ends, least = [], [], []
+            for r, _, _ in _slices(self.content_range):
+                m = by_range[r]
+                runs.append(np.frombuffer(_unpack(m["a"]), "<u4").astype(np.int64))
+                ends.append(np.frombuffer(_unpack(m["b"]), "<u4").astype(np.int64))
+                least.append(np.frombuffer(_unpack(m["c"]), "<i8"))
+            runs, ends, least = np.concatenate(runs), np.concatenate(ends), np.concatenate(least)
+            first = np.concatenate(([0], np.cumsum(runs)))
+            begins = np.concatenate(([0], ends[:-1]))
+            begins[first[:-1]] = 0
+            n = runs[self.content]
+            take = np.repeat(first[self.content] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            unit = np.repeat(np.arange(len(n)), n)
+            smaller = least[take] < self.unit_document[unit]
+            take, unit = take[smaller], unit[smaller]
+            for k, mark in enumerate(marks):
+                here = self.unit_block[unit] == k
+                start = self.unit_start[unit[here]]
+                np.add.at(mark, start + begins[take[here]], 1)
+                np.add.at(mark, start + ends[take[here]] - 1 + self.size, -1)
+        return [np.cumsum(mark[:-1]) > 0 for mark in marks]
 
 
 def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def _blocks_in(batches, size: int):
-    """Each row of a stage over blocks, with its block built."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            row = {n: batch.column(i)[at].as_py() for i, n in enumerate(batch.schema.names)}
-            yield row, Block(row["ids"], row["known"], row["sizes"], row["data"], size)
-
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one range after the other; ``range`` is the first column."""
+    for batch in runs_of(batches, 1):
+        for _, a, b in _slices(batch.column(0).to_numpy()):
+            yield batch.slice(a, b - a)
 
-def _send_names(blocks: DataFrame, size: int, shards: int) -> DataFrame:
-    ddl = "shard long, block long, names binary, several binary"
-    schema = arrow_schema(ddl)
-
-    def run(batches):
-        for row, block in _blocks_in(batches, size):
-            shard, names, several, _ = block.sent(shards)
-            out = [{"shard": s, "block": row["block"], "names": names[a:b].tobytes(), "several": np.packbits(several[a:b]).tobytes()} for s, a, b in _slices(shard)]
-            if out:
-                yield _rows(out, schema)
 
-    return blocks.mapInArrow(lean(run), ddl)
+_ANSWER = "group long, kind int, range long, a binary, b binary, c binary"
 
 
-def _answer_names(sent: DataFrame) -> DataFrame:
-    """For each block and shard a bit for each name sent: whether several documents hold it."""
-    ddl = "block long, shard long, bits binary"
+def _send_names(packed: DataFrame, size: int, ranges: int, counted: int) -> DataFrame:
+    ddl = "range long, group long, names binary, several binary, different binary"
     schema = arrow_schema(ddl)
 
     def run(table: pa.Table) -> pa.Table:
-        names = [np.frombuffer(x, "<u4") for x in table.column("names").to_pylist()]
-        several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)).astype(bool) for x, n in zip(table.column("several").to_pylist(), names, strict=True)]
-        every = np.concatenate(names)
-        every.sort()
-        often = np.unique(np.concatenate((every[1:][every[1:] == every[:-1]], *(n[s] for n, s in zip(names, several, strict=True)))))
-        rows = []
-        for block, shard, n in zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), names, strict=True):
-            at = np.minimum(np.searchsorted(often, n), max(0, len(often) - 1))
-            rows.append({"block": block, "shard": shard, "bits": np.packbits(often[at] == n if len(often) else np.zeros(len(n), bool)).tobytes()})
+        give_back()
+        group = Group(table.to_pylist(), size, ranges)
+        several, different, low = group.several(), group.different(counted).astype("<u2"), (group.keys & np.uint64(0xFFFFFFFF)).astype("<u4")
+        key = table.column("group")[0].as_py()
+        rows = [{"range": r, "group": key, "names": low[a:b].tobytes(), "several": np.packbits(several[a:b]).tobytes(), "different": _pack(different[a:b].tobytes())} for r, a, b in _slices((group.keys >> np.uint64(32)).astype(np.int64))]
         return pa.Table.from_batches([_rows(rows, schema)])
 
-    return sent.groupBy("shard").applyInArrow(run, ddl)
+    return packed.groupBy("group").applyInArrow(run, ddl)
 
 
-def _wanted(row: dict, block: Block, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The stretches whose names are in several documents, ordered by shard; shards of names and places."""
-    shard, _, _, place = block.sent(shards)
-    bits = {m["shard"]: m["bits"] for m in row["marks"] or []}
-    often = np.zeros(len(shard), bool)
-    for s, a, b in _slices(shard):
-        often[a:b] = np.unpackbits(np.frombuffer(bits[s], np.uint8), count=b - a).astype(bool)
-    wanted = np.flatnonzero(often[place])
-    return wanted, shard, place
+def _answer_names(sent: DataFrame, partitions: int, most: int) -> DataFrame:
+    """For each group and range, of each name sent: whether several documents hold it (a), and whether it is hot (b)."""
+    schema = arrow_schema(_ANSWER)
 
-
-def _numbered(block: Block, wanted: np.ndarray, shard: np.ndarray, place: np.ndarray):
-    """Different contents in order of shard: shard, bytes, smallest document; and for each wanted stretch the number of its content."""
-    texts, least, first, which = block.contents(wanted)
-    own = shard[place[first]]
-    order = np.argsort(own, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return own[order], [texts[i] for i in order], least[order], rank[which]
-
-
-def _send_contents(marked: DataFrame, size: int, shards: int) -> DataFrame:
-    ddl = "shard long, block long, sizes binary, least binary, data binary"
+    def run(batches):
+        for batch in _by_range(batches):
+            names = [np.frombuffer(x, "<u4") for x in batch.column(2).to_pylist()]
+            several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)).astype(bool) for x, n in zip(batch.column(3).to_pylist(), names, strict=True)]
+            different = [np.frombuffer(_unpack(x), "<u2").astype(np.int64) for x in batch.column(4).to_pylist()]
+            every, place = np.unique(np.concatenate(names), return_inverse=True)
+            place = place.reshape(-1)
+            shared = (np.bincount(place) > 1) | (np.bincount(place, np.concatenate(several)) > 0)
+            hot = shared & (np.bincount(place, np.concatenate(different)) > most)
+            rows, at = [], 0
+            for group, n in zip(batch.column(1).to_pylist(), names, strict=True):
+                own = place[at : at + len(n)]
+                at += len(n)
+                rows.append({"group": group, "kind": 0, "range": batch.column(0)[0].as_py(), "a": np.packbits(shared[own]).tobytes(), "b": np.packbits(hot[own]).tobytes(), "c": b""})
+            yield _rows(rows, schema)
+
+    return sent.repartition(partitions, "range").sortWithinPartitions("range").mapInArrow(lean(run), _ANSWER)
+
+
+def _send_contents(packed: DataFrame, marks: DataFrame, size: int, ranges: int) -> DataFrame:
+    ddl = "range long, group long, sizes binary, least binary, alone binary, data binary"
     schema = arrow_schema(ddl)
 
-    def run(batches):
-        for row, block in _blocks_in(batches, size):
-            own, texts, least, _ = _numbered(block, *_wanted(row, block, shards))
-            out = []
-            for s, a, b in _slices(own):
-                out.append({"shard": s, "block": row["block"], "sizes": np.array([len(t) for t in texts[a:b]], "<u4").tobytes(), "least": least[a:b].tobytes(), "data": _pack(b"".join(texts[a:b]))})
-            if out:
-                yield _rows(out, schema)
+    def run(blocks: pa.Table, marked: pa.Table) -> pa.Table:
+        give_back()
+        group = Group(blocks.to_pylist(), size, ranges)
+        group.units(marked.to_pylist())
+        key, rows, texts = blocks.column("group")[0].as_py(), [], group.content_texts
+        for r, a, b in _slices(group.content_range):
+            rows.append({"range": r, "group": key, "sizes": np.array([len(t) for t in texts[a:b]], "<u4").tobytes(), "least": group.content_least[a:b].tobytes(), "alone": np.packbits(group.content_alone[a:b]).tobytes(), "data": _pack(b"".join(texts[a:b]))})
+        return pa.Table.from_batches([_rows(rows, schema)])
 
-    return marked.mapInArrow(lean(run), ddl)
+    return packed.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(run, ddl)
 
 
 def _share_names(texts: list[bytes], size: int) -> np.ndarray:
@@ -300,110 +444,152 @@ def smallest_documents(texts: list[bytes], least: np.ndarray, size: int) -> tupl
     return np.where(here == _NEVER, _NEVER, out), first
 
 
-def _answer_contents(sent: DataFrame, size: int) -> DataFrame:
-    """For each block and shard: runs of windows of each content, by end and smallest document."""
-    ddl = "block long, shard long, runs binary, ends binary, least binary"
+def _answer_contents(sent: DataFrame, size: int, partitions: int) -> DataFrame:
+    """For each group and range: runs of windows of each content (a: how many), by end (b) and smallest document (c)."""
+    schema = arrow_schema(_ANSWER)
+
+    def run(batches):
+        for batch in _by_range(batches):
+            numbers = _Numbers()
+            messages, lows = [], []
+            for group, sizes, least, alone, data in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                raw, sizes = _unpack(data), np.frombuffer(sizes, "<u4")
+                alone = np.unpackbits(np.frombuffer(alone, np.uint8), count=len(sizes)).astype(bool)
+                ends, which = np.cumsum(sizes.astype(np.int64)), np.empty(len(sizes), np.int64)
+                for one in (False, True) if alone.any() else (False,):
+                    here = np.flatnonzero(alone == one)
+                    which[here] = numbers.of((raw[a:b] for a, b in zip((ends - sizes)[here].tolist(), ends[here].tolist(), strict=True)), one, len(here))
+                messages.append((group, which))
+                lows.append(np.frombuffer(least, "<i8"))
+            every = np.concatenate([w for _, w in messages])
+            texts, single = numbers.all()
+            low = np.full(len(texts), _NEVER)
+            np.minimum.at(low, every, np.concatenate(lows))
+            # The only content of its name, and a single window, shares no window with another content: its own smallest document is the answer.
+            shares = _share_names(texts, size) & ~single
+            owner, end, value = np.flatnonzero(~shares), np.array([len(t) for t in texts])[~shares] - size + 1, low[~shares]
+            some = np.flatnonzero(shares)
+            if len(some):
+                found, first = smallest_documents([texts[i] for i in some.tolist()], low[some], size)
+                # Runs of equal answers in each content.
+                new = np.concatenate(([True], found[1:] != found[:-1]))
+                new[first[:-1]] = True
+                every_run = np.flatnonzero(new)
+                stop = np.concatenate((every_run[1:], [len(found)]))
+                asked = found[every_run] != _NEVER
+                at, stop = every_run[asked], stop[asked]
+                own = np.searchsorted(first, at, "right") - 1
+                owner, end, value = np.concatenate((owner, some[own])), np.concatenate((end, stop - first[own])), np.concatenate((value, found[at]))
+                order = np.argsort(owner, kind="stable")
+                owner, end, value = owner[order], end[order], value[order]
+            begin = np.searchsorted(owner, np.arange(len(texts) + 1))
+            counts = np.diff(begin)
+            for group, which in messages:
+                runs = counts[which]
+                take = np.repeat(begin[which] - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum())
+                yield _rows([{"group": group, "kind": 1, "range": batch.column(0)[0].as_py(), "a": _pack(runs.astype("<u4").tobytes()), "b": _pack(end[take].astype("<u4").tobytes()), "c": _pack(value[take].astype("<i8").tobytes())}], schema)
+
+    return sent.repartition(partitions, "range").sortWithinPartitions("range").mapInArrow(lean(run), _ANSWER)
+
+
+_DONE = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _outcome(key: int | None, size: int, removed: int, spans: int, digest: str, kept: bytes | None, texts: bool) -> dict:
+    return {"doc_id": key, "n_bytes": size, "n_removed": removed, "n_spans": spans, "kept_sha256": digest} | ({"kept_text": kept.decode("utf-8", "replace")} if texts else {})
+
+
+def _finish(packed: DataFrame, answers: DataFrame, size: int, ranges: int, texts: bool) -> DataFrame:
+    """The outcome of each whole document; of each piece of a long one (``piece`` at least 0) its bytes and which of them, and of those behind, are gone."""
+    ddl = _DONE + (", kept_text string" if texts else "") + ", row long, piece int, data binary, gone binary"
     schema = arrow_schema(ddl)
 
-    def run(table: pa.Table) -> pa.Table:
-        number: dict[bytes, int] = {}
-        messages, lows = [], []
-        for block, shard, sizes, least, data in zip(*(table.column(c).to_pylist() for c in ("block", "shard", "sizes", "least", "data")), strict=True):
-            raw, sizes = _unpack(data), np.frombuffer(sizes, "<u4")
-            ends = np.cumsum(sizes).tolist()
-            which = np.array([number.setdefault(raw[e - s : e], len(number)) for s, e in zip(sizes.tolist(), ends, strict=True)])
-            messages.append((block, shard, which))
-            lows.append(np.frombuffer(least, "<i8"))
-        every = np.concatenate([w for _, _, w in messages])
-        low = np.full(len(number), _NEVER)
-        np.minimum.at(low, every, np.concatenate(lows))
-        texts = list(number)
-        # The only content of its name shares no window with another one: its own smallest document is the answer.
-        shares = _share_names(texts, size)
-        owner, end, value = np.flatnonzero(~shares), np.array([len(t) for t in texts])[~shares] - size + 1, low[~shares]
-        some = np.flatnonzero(shares)
-        if len(some):
-            found, first = smallest_documents([texts[i] for i in some.tolist()], low[some], size)
-            # Runs of equal answers in each content.
-            new = np.concatenate(([True], found[1:] != found[:-1]))
-            new[first[:-1]] = True
-            every_run = np.flatnonzero(new)
-            stop = np.concatenate((every_run[1:], [len(found)]))
-            asked = found[every_run] != _NEVER
-            at, stop = every_run[asked], stop[asked]
-            own = np.searchsorted(first, at, "right") - 1
-            owner, end, value = np.concatenate((owner, some[own])), np.concatenate((end, stop - first[own])), np.concatenate((value, found[at]))
-            order = np.argsort(owner, kind="stable")
-            owner, end, value = owner[order], end[order], value[order]
-        begin = np.searchsorted(owner, np.arange(len(number) + 1))
-        counts = np.diff(begin)
-        rows = []
-        for block, shard, which in messages:
-            runs = counts[which]
-            take = np.repeat(begin[which] - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum())
-            rows.append({"block": block, "shard": shard, "runs": _pack(runs.astype("<u4").tobytes()), "ends": _pack(end[take].astype("<u4").tobytes()), "least": _pack(value[take].astype("<i8").tobytes())})
-        return pa.Table.from_batches([_rows(rows, schema)])
+    def run(blocks: pa.Table, given: pa.Table) -> pa.Table:
+        give_back()
+        group, told = Group(blocks.to_pylist(), size, ranges), given.to_pylist()
+        group.units([m for m in told if m["kind"] == 0])
+        out = []
+        for block, gone in zip(group.blocks, group.gone([m for m in told if m["kind"] == 1]), strict=True):
+            for i, (a, b) in enumerate(zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True)):
+                own, key, piece = gone[a:b], int(block.ids[i]) if block.known[i] else None, int(block.pieces[i])
+                place = {"row": int(block.rows[i]), "piece": piece}
+                if piece < 0:
+                    kept = block.data[a:b][~own].tobytes()
+                    spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum())
+                    out.append(_outcome(key, b - a, int(own.sum()), spans, hashlib.sha256(kept).hexdigest(), kept, texts) | place)
+                else:
+                    size_own = int(block.own[i])
+                    out.append({"doc_id": key, "n_bytes": size_own, **place, "data": _pack(block.data[a : a + size_own].tobytes()), "gone": _pack(np.packbits(own).tobytes())})
+        return pa.Table.from_batches([_rows(out, schema)])
+
+    return packed.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(run, ddl)
+
+
+def _put_together(done: DataFrame, partitions: int, texts: bool) -> DataFrame:
+    """The pieces of each long document, in order, as one outcome; one piece is held at a time."""
+    ddl = _DONE + (", kept_text string" if texts else "")
+    schema = arrow_schema(ddl)
+    names = [f.name for f in schema]
+
+    def run(batches):
+        state = None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if state and state["row"] != row["row"]:
+                    out.append(ended(state))
+                    state = None
+                if row["piece"] < 0:
+                    out.append({n: row[n] for n in names})
+                    continue
+                state = state or {"row": row["row"], "key": row["doc_id"], "size": 0, "removed": 0, "spans": 0, "sha": hashlib.sha256(), "kept": [], "over": np.empty(0, bool), "inside": False}
+                data = np.frombuffer(_unpack(row["data"]), np.uint8)
+                bits = np.frombuffer(_unpack(row["gone"]), np.uint8)
+                gone = np.unpackbits(bits).astype(bool)
+                own = gone[: len(data)].copy()
+                over = state["over"][: len(own)]
+                own[: len(over)] |= over
+                kept = data[~own].tobytes()
+                state["sha"].update(kept)
+                if texts:
+                    state["kept"].append(kept)
+                state["spans"] += int((own[1:] & ~own[:-1]).sum()) + int(len(own) > 0 and bool(own[0]) and not state["inside"])
+                state["inside"] = bool(own[-1]) if len(own) else state["inside"]
+                state["size"] += len(data)
+                state["removed"] += int(own.sum())
+                state["over"] = gone[len(data) :]
+            if out:
+                yield _rows(out, schema)
+        if state:
+            yield _rows([ended(state)], schema)
+
+    def ended(state: dict) -> dict:
+        return _outcome(state["key"], state["size"], state["removed"], state["spans"], state["sha"].hexdigest(), b"".join(state["kept"]) if texts else None, texts)
+
+    return done.repartition(partitions, "row").sortWithinPartitions("row", "piece").mapInArrow(lean(run), ddl)
+
 
-    return sent.groupBy("shard").applyInArrow(run, ddl)
-
-
-def _covered(row: dict, block: Block, shards: int) -> np.ndarray:
-    """Which bytes of the block are in a window that a smaller document holds."""
-    out = np.zeros(len(block.data) + 1, np.int32)
-    wanted, shard, place = _wanted(row, block, shards)
-    if len(wanted):
-        own, _, _, which = _numbered(block, wanted, shard, place)
-        answers = {m["shard"]: m for m in row["answers"] or []}
-        runs, ends, least = [], [], []
-        for s, _, _ in _slices(own):
-            runs.append(np.frombuffer(_unpack(answers[s]["runs"]), "<u4").astype(np.int64))
-            ends.append(np.frombuffer(_unpack(answers[s]["ends"]), "<u4").astype(np.int64))
-            least.append(np.frombuffer(_unpack(answers[s]["least"]), "<i8"))
-        runs, ends, least = np.concatenate(runs), np.concatenate(ends), np.concatenate(least)
-        first = np.concatenate(([0], np.cumsum(runs)))
-        begins = np.concatenate(([0], ends[:-1]))
-        begins[first[:-1]] = 0
-        n = runs[which]
-        take = np.repeat(first[which] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        which_stretch = np.repeat(wanted, n)
-        smaller = least[take] < block.ids[block.document[which_stretch]]
-        start = block.starts[which_stretch[smaller]]
-        np.add.at(out, start + begins[take[smaller]], 1)
-        np.add.at(out, start + ends[take[smaller]] - 1 + block.size, -1)
-    return np.cumsum(out[:-1]) > 0
-
-
-def repeated_bytes(df: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, block_bytes: int = BLOCK_BYTES, texts: bool = False) -> DataFrame:
+def repeated_bytes(df: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, block_bytes: int = BLOCK_BYTES, texts: bool = False, group_bytes: int | None = None, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept_text``), one row for each row of ``df``.
 
     A byte is removed if a string of ``size`` bytes that covers it also starts in
     a document with a smaller id. Strings are judged on the input; they never
     cross documents. Null text is empty. Rows that share an id are as one
     document: none removes from another. A row without an id removes nothing and
-    loses nothing. ``kept_text``: what is left, bytes that are no UTF-8 any more as U+FFFD.
+    loses nothing. ``kept_text``: what is left, bytes that are no UTF-8 any more
+    as U+FFFD. ``shards``: the number of ranges, by default from the size of the text;
+    ``hot``: different stretches from which a name's windows are dealt one by one.
     """
-    spark = df.sparkSession
-    blocks = checkpointed(pack_blocks(df, id_col, text_col, block_bytes))
-    if shards is None:
-        total = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-        shards = max(partitions_for(spark), -(-total // SHARD_BYTES))
-    spread = blocks.repartition(partitions_for(spark), "block")
-    marks = _answer_names(_send_names(blocks, size, shards)).groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("marks"))
-    marks = checkpointed(marks)  # a bit for each name: a small part of the text
-    contents = _send_contents(spread.join(marks, "block", "left"), size, shards)
-    answers = _answer_contents(contents, size).groupBy("block").agg(F.collect_list(F.struct("shard", "runs", "ends", "least")).alias("answers"))
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
-    schema = arrow_schema(ddl)
-
-    def finish(batches):
-        for row, block in _blocks_in(batches, size):
-            gone = _covered(row, block, shards)
-            out = []
-            for i, (a, b) in enumerate(zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True)):
-                own = gone[a:b]
-                kept = block.data[a:b][~own].tobytes()
-                spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum())
-                out.append({"doc_id": int(block.ids[i]) if block.known[i] else None, "n_bytes": b - a, "n_removed": int(own.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()} | ({"kept_text": kept.decode("utf-8", "replace")} if texts else {}))
-            yield _rows(out, schema)
-
-    return spread.join(marks, "block", "left").join(answers, "block", "left").mapInArrow(lean(finish), ddl)
+    partitions = partitions_for(df.sparkSession)
+    total, longest = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.max(F.octet_length(F.col(text_col).cast("string")))).first()
+    total = total or 0
+    even = math.isqrt(SIZE_OF_NAME * MESSAGE * total)
+    ranges = shards or max(partitions, -(-total // min(MOST_BYTES, max(RANGE_BYTES, even))))
+    packed = pack_blocks(df, id_col, text_col, size, block_bytes, group_bytes or min(MOST_BYTES, max(GROUP_BYTES, even)))
+    packed = packed.repartition(partitions, "group")
+    marks = _answer_names(_send_names(packed, size, ranges, min(COUNTED, hot)), partitions, hot)
+    answers = _answer_contents(_send_contents(packed, marks, size, ranges), size, partitions)
+    done = _finish(packed, marks.unionByName(answers), size, ranges, texts)
+    if (longest or 0) > block_bytes:
+        return _put_together(done, partitions, texts)
+    return done.drop("row", "piece", "data", "gone")
