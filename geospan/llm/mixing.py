@@ -10,8 +10,8 @@ and the shortage reach the level above.
 A source's quota is then met from seeded epochs: whole passes first, and of the
 last pass the prefix, in the order of a seeded hash, that fits the rest. The
 prefix is found without sorting a source: tokens are summed by ranges of the
-hash, whole ranges are taken or left, and only the range that holds the cut is
-put in order.
+hash, the range that holds the cut is divided again, and only when few rows are
+left in it are these put in order.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from geospan.llm.common import checkpointed
 
-#: Hexadecimal digits of the hash that make a range: 4096 ranges for each source.
-RANGE_DIGITS = 3
+#: Hexadecimal digits that a step of the search for a cut adds, rows of a range that are put in order, digits of a place, and what comes behind all digits.
+RANGE_DIGITS, FEW, PLACES, PAST = 2, 1000, 96, "g"
 #: Leaves up to which the table of quotas is small enough to send to all executors.
 SMALL = 20_000
 LEVELS = ("domain", "lang", "source")
@@ -85,47 +85,92 @@ def quotas(leaves: DataFrame, percent: int, epochs: int, domain_weights: dict[st
     return leaves.select("domain", "lang", "source", "supply", "quota")
 
 
+def added_names(df: DataFrame) -> tuple[str, str, str]:
+    """What ``mix`` calls domain, tokens and copies: ``_domain, _tokens, _copies``, with more underscores where ``df`` has such columns."""
+    out = []
+    for name in ("_domain", "_tokens", "_copies"):
+        while name in df.columns:
+            name = "_" + name
+        out.append(name)
+    return tuple(out)
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """A checkpointed table by leaf, to be sent to all executors if its size allows that; else it is joined by leaf."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def _order(seed: str) -> Column:
+    """The place of a row in its leaf's last epoch: a seeded hash of the id, then tokens and the text's hash, as 96 digits."""
+    key = F.sha2(F.concat_ws("/", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("id"), F.lit(NONE))), 256)
+    return F.concat(key, *(F.lpad(F.lower(F.hex(c)), 16, "0") for c in ("tokens", "tie")))
+
+
+def _bounds(facts: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+    """``leaf, whole, rest, bound``: the last epoch's prefix holds the rows whose place is before ``bound``.
+
+    The range of places that holds the cut is found digit by digit, from sums by
+    range: no leaf's rows are put in order but the few of the last range.
+    """
+    cut = checkpointed(plan.where("rest > 0").select(*LEVELS, "whole", "rest", F.lit("").alias("bound"), F.lit(0).cast("long").alias("before")))
+    by, digits = Window.partitionBy(*LEVELS).orderBy("place"), 0
+    upto = F.sum("t").over(by.rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    while True:
+        digits += RANGE_DIGITS
+        near = facts.join(_sent(cut), list(LEVELS)).withColumn("order", _order(seed)).where(F.col("order").startswith(F.col("bound")))
+        place = F.substring("order", 1, digits)
+        sums = near.groupBy(*LEVELS, "whole", "rest", "bound", "before", place.alias("place")).agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).withColumn("upto", upto)
+        over = F.col("upto") > F.col("rest")
+        first = F.min_by(F.struct("place", (F.col("upto") - F.col("t")).alias("before"), "n"), F.when(over, F.col("place")))
+        found = sums.groupBy(*LEVELS, "whole", "rest").agg(F.when(F.max(over), first).alias("c"))
+        # Past all digits stands what no place reaches: everything is taken.
+        found = checkpointed(found.select(*LEVELS, "whole", "rest", F.coalesce("c.place", F.lit(PAST)).alias("bound"), F.coalesce("c.before", F.lit(0)).alias("before"), F.coalesce("c.n", F.lit(0)).alias("n")))
+        most = found.agg(F.max("n")).first()[0] or 0
+        cut = found.drop("n")
+        if most <= FEW or digits >= PLACES:
+            break
+    near = facts.join(_sent(cut), list(LEVELS)).withColumn("order", _order(seed)).where(F.col("order").startswith(F.col("bound")))
+    sums = near.groupBy(*LEVELS, "before", "rest", F.col("order").alias("place")).agg(F.sum("tokens").alias("t")).withColumn("upto", upto)
+    last = sums.where("upto <= rest").groupBy(*LEVELS).agg(F.max("place").alias("last"))
+    done = cut.join(last, list(LEVELS), "left").select(*LEVELS, F.coalesce(F.concat("last", F.lit(PAST)), "bound").alias("bound"))
+    return checkpointed(plan.join(done, list(LEVELS), "left").withColumn("bound", F.coalesce("bound", F.lit(PAST))))
+
+
 def mix(
     df: DataFrame, percent: int = FRACTION_PERCENT, epochs: int = EPOCHS, seed: str = SEED, domain: Column | None = None,
     domain_weights: dict[str, int] = DOMAIN_WEIGHTS, lang_weights: dict[str, int] = LANG_WEIGHTS, source_weights: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    tokens: Column | None = None,
 ) -> DataFrame:
-    """The selected rows of ``df``, with all its columns, and ``_domain, _tokens, _copies``: how often each is taken.
+    """The selected rows of ``df``, with all its columns, and its domain, tokens and copies (``added_names``): how often each is taken.
 
+    ``tokens``: a count that the table has; by default the estimate ``tokens_of``.
     Null languages and sources are leaves of their own, named ``(none)``; a row
-    with null or empty text has no tokens and is taken with the range or prefix
-    it falls in; repeated rows count each. Rows with equal ids are put in order
-    by tokens, then text. An empty table gives no rows. ``df``'s own columns must
-    not begin with an underscore.
+    with null or empty text has no tokens and is taken with the prefix that it
+    falls in; repeated rows count each. Rows with equal ids are put in order by
+    tokens, then by the text's hash; rows equal in all three are taken together
+    or not at all. An empty table gives no rows. The text is read twice: for the
+    counts, which are kept, and for the outcome.
     """
     domain = default_domain(F.col(source_col)) if domain is None else domain
-    rows = df.withColumns({"_domain": F.coalesce(domain, F.lit(NONE)), "_lang": F.coalesce(F.col(lang_col), F.lit(NONE)), "_source": F.coalesce(F.col(source_col), F.lit(NONE)), "_tokens": tokens_of(F.col(text_col))})
-    leaf = ["_domain", "_lang", "_source"]
-    supply = rows.groupBy(*leaf).agg(F.sum("_tokens").alias("supply")).withColumnsRenamed({"_domain": "domain", "_lang": "lang", "_source": "source"})
-    plan = quotas(checkpointed(supply), percent, epochs, domain_weights, lang_weights, source_weights or {}).withColumnsRenamed({"domain": "_domain", "lang": "_lang", "source": "_source"})
-    whole = F.when(F.col("supply") > 0, F.expr("quota div supply")).otherwise(0)
-    plan = checkpointed(plan.withColumn("_whole", whole.cast("long")).withColumn("_rest", F.col("quota") - F.col("_whole") * F.col("supply")).select(*leaf, "_whole", "_rest"))
-    small = plan.count() <= SMALL
-    send = F.broadcast if small else (lambda x: x)  # the table of quotas, of a checked size
-    keyed = rows.join(send(plan), leaf).withColumn("_key", F.sha2(F.concat_ws("/", F.lit(seed), F.col("_whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(NONE))), 256)).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
-    sums = keyed.where("_rest > 0").groupBy(*leaf, "_range", "_rest").agg(F.sum("_tokens").alias("t"))
-    so_far = Window.partitionBy(*leaf).orderBy("_range")
-    sums = sums.withColumn("upto", F.sum("t").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
-    # The range that holds the cut: the first whose end lies beyond the rest.
-    cut = sums.where("upto > _rest").groupBy(*leaf).agg(F.min(F.struct("_range", (F.col("upto") - F.col("t")).alias("before"))).alias("c")).select(*leaf, F.col("c._range").alias("_cut"), F.col("c.before").alias("_before"))
-    plan = checkpointed(plan.join(cut, leaf, "left"))
-    keyed = rows.join(send(plan), leaf).withColumn("_key", F.sha2(F.concat_ws("/", F.lit(seed), F.col("_whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(NONE))), 256)).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
-    inside = (F.col("_rest") > 0) & (F.col("_cut").isNull() | (F.col("_range") < F.col("_cut")))
-    outcome = [*df.columns, "_domain", "_tokens", "_copies"]
-    at_cut = F.coalesce((F.col("_rest") > 0) & (F.col("_range") == F.col("_cut")), F.lit(False))
-    plain = keyed.where(~at_cut).withColumn("_copies", F.col("_whole") + F.when(inside, 1).otherwise(0))
-    order = Window.partitionBy(*leaf).orderBy("_key", "_tokens", F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, 0)
-    edge = keyed.where(at_cut).withColumn("_copies", F.col("_whole") + F.when(F.col("_before") + F.sum("_tokens").over(order) <= F.col("_rest"), 1).otherwise(0))
-    return plain.select(*outcome).unionByName(edge.select(*outcome)).where("_copies > 0")
+    named = added_names(df)
+    whole_row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    known = [F.coalesce(domain, F.lit(NONE)).alias("domain"), F.coalesce(F.col(lang_col), F.lit(NONE)).alias("lang"), F.coalesce(F.col(source_col), F.lit(NONE)).alias("source"), F.col(id_col).cast("string").alias("id")]
+    known += [F.coalesce((tokens_of(F.col(text_col)) if tokens is None else tokens).cast("long"), F.lit(0)).alias("tokens"), F.xxhash64(text_col).alias("tie")]
+    facts = checkpointed(df.select(*known))
+    supply = checkpointed(facts.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")))
+    plan = quotas(supply, percent, epochs, domain_weights, lang_weights, source_weights or {})
+    whole = F.when(F.col("supply") > 0, F.expr("quota div supply")).otherwise(0).cast("long")
+    plan = checkpointed(plan.withColumn("whole", whole).select(*LEVELS, "whole", (F.col("quota") - F.col("whole") * F.col("supply")).alias("rest")))
+    rows = df.select(whole_row, *known).join(_sent(_bounds(facts, plan, seed)), list(LEVELS))
+    copies = F.col("whole") + F.when((F.col("rest") > 0) & (_order(seed) < F.col("bound")), 1).otherwise(0)
+    return rows.withColumn("copies", copies).where("copies > 0").select("row.*", *(F.col(c).alias(n) for c, n in zip(("domain", "tokens", "copies"), named, strict=True)))
 
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
-    """The mixture itself: each selected row as often as it is taken, with the columns of ``df``."""
-    return mix(df, **options).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*df.columns)
+    """The mixture itself: each selected row as often as it is taken, with the columns of ``df``; odd rows as in ``mix``."""
+    whole_row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    copies = F.sequence(F.lit(1).cast("long"), F.col(added_names(df)[2]))
+    return mix(df, **options).select(whole_row, F.explode(copies).alias("n")).select("row.*")
 
 
 #: DuckDB SQL for the query over ``documents``.

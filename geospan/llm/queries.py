@@ -27,7 +27,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     given = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
-    return chat.chat_digest(chat.conversations(chat.as_messages(given.unionByName(own))))
+    return chat.chat_digest(chat.conversations(chat.as_messages(given.unionByName(own)), unique=True))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(_table(spark, sf_dir, "documents"))
-    return taken.select("doc_id", F.col("_domain").alias("domain"), F.coalesce("lang", F.lit(mixing.NONE)).alias("lang"), F.coalesce("source", F.lit(mixing.NONE)).alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("copies"))
+    documents = _table(spark, sf_dir, "documents")
+    domain, tokens, copies = mixing.added_names(documents)
+    return mixing.mix(documents).select("doc_id", F.col(domain).alias("domain"), F.coalesce("lang", F.lit(mixing.NONE)).alias("lang"), F.coalesce("source", F.lit(mixing.NONE)).alias("source"), F.col(tokens).alias("n_tokens"), F.col(copies).alias("copies"))
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
