@@ -8,8 +8,11 @@ margin that no real link falls under, then the full sets. What is then left are
 centres whose members are in different components. Of these, each member's
 difference to the centre is taken; the differences of two members give their
 exact similarity, so members are compared in blocks by one matrix product, and
-only edges that join components are written. No pair that shares a band and
-could join two components is left out, and no pairs of a group are emitted.
+only edges that join components are written. The members of a large group's
+largest component meet only those of its other components, so a group of which
+most is joined already costs as many rows as it has members. No pair that shares
+a band and could join two components is left out, and no pairs of a group are
+emitted.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ WORDS, ROWS, BANDS, PERCENT = 5, 5, 26, 85
 MARGIN = 0.2
 #: Members and bytes of differences in a block of a centre, and elements whose product is taken at once.
 BLOCK, BLOCK_BYTES, FEATURES = 1024, 4_000_000, 2048
+#: Rows up to which a table of centres is small enough to send to all executors; larger ones are joined by key.
+SMALL = 20_000
 #: Bytes of a task's table of word hashes.
 WORD_BYTES = 16_000_000
 
@@ -52,13 +57,17 @@ class Shingler:
 
     def __init__(self, words: int = WORDS):
         self.n = words
-        self.hashes = Recent(lambda word: xxhash.xxh3_64_intdigest(word, 1), WORD_BYTES)
+        self.hashes = Recent(WORD_BYTES)
 
     def set_of(self, text: str) -> np.ndarray:
         words = lower_ascii(text).encode("utf-8", "surrogatepass").split()
         if not words:
             return np.empty(0, np.uint64)
+        new = self.hashes.missing(words)
+        for word in new:
+            self.hashes[word] = xxhash.xxh3_64_intdigest(word, 1)
         h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+        self.hashes.settle(new)
         n = min(self.n, len(h))
         total = h[: len(h) - n + 1].copy()
         for i in range(1, n):
@@ -162,9 +171,22 @@ def _similar(pairs: DataFrame, documents: DataFrame, words: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long, inter long, uni long")
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """``df``, a checkpointed table of centres, to be sent to all executors if its size allows that."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def _differences(members: DataFrame, full: DataFrame) -> DataFrame:
-    """``centre, id, component, n, d``: each member's size, and the elements that are in its set or the centre's only."""
-    both = members.join(full.withColumnsRenamed({"s": "x"}), "id").join(full.withColumnsRenamed({"id": "centre", "s": "y"}), "centre")
+    """``centre, id, component, n, d``: each member's size, and the elements that are in its set or the centre's only.
+
+    The centre's set is copied for every ``BLOCK`` members, so that a large group is not joined in one task.
+    """
+    large = checkpointed(members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts")).where("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = members.join(_sent(large), "centre", "left").select("centre", "id", "component", F.pmod(F.xxhash64("id"), parts).alias("part"))
+    centres = members.select("centre").distinct().join(_sent(large), "centre", "left").select("centre", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    sets = centres.join(full.withColumnsRenamed({"id": "centre", "s": "y"}), "centre")
+    both = dealt.join(full.withColumnsRenamed({"s": "x"}), "id").join(sets, ["centre", "part"])
     ddl = "centre long, id long, component long, n long, d binary"
     schema = arrow_schema(ddl)
 
@@ -177,7 +199,7 @@ def _differences(members: DataFrame, full: DataFrame) -> DataFrame:
                 differ.append(np.setxor1d(x, np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(differ, pa.binary())], schema=schema)
 
-    return both.select("centre", "id", "component", "x", "y").select("centre", "id", "component", "x", "y").mapInArrow(lean(run), ddl)
+    return both.select("centre", "id", "component", "x", "y").mapInArrow(lean(run), ddl)
 
 
 def _shared(differ: list[np.ndarray]) -> np.ndarray:
@@ -204,13 +226,23 @@ def _joining(differences: DataFrame, percent: int, partitions: int) -> DataFrame
     """``u, v``: edges that join members of a centre which are linked but in different components.
 
     With D the difference to the centre, two sets differ in |Dx| + |Dy| - 2 |Dx
-    and Dy| elements, which with their sizes gives the similarity exactly.
-    Members are compared in blocks; one edge a member and block pair is written.
+    and Dy| elements, which with their sizes gives the similarity exactly. A
+    large group's largest component is dealt into the first blocks, the rest
+    into the others; only pairs of blocks with one of the others meet. One edge
+    a member and block pair is written.
     """
-    blocks = differences.groupBy("centre").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("d")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    rows = differences.join(blocks, "centre").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("centre", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), "id", "component", "n", "d")
+    blocks = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES)).cast("long")
+    parts = differences.groupBy("centre", "component").agg(F.count("*").alias("n"), F.sum(F.octet_length("d")).alias("bytes"))
+    most = F.max(F.struct("n", "bytes", "component"))
+    large = parts.groupBy("centre").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), most.alias("m")).where(blocks("n", "bytes") > 1)
+    large = large.select("centre", F.col("m.component").alias("giant"), blocks("m.n", "m.bytes").alias("first"), (F.col("n") - F.col("m.n")).alias("n"), (F.col("bytes") - F.col("m.bytes")).alias("bytes"))
+    large = checkpointed(large.select("centre", "giant", "first", F.greatest(blocks("n", "bytes"), F.lit(1)).alias("others")))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    rows = differences.join(_sent(large), "centre", "left").withColumns({"first": F.coalesce("first", zero), "others": F.coalesce("others", one)})
+    free = F.coalesce(F.col("component") != F.col("giant"), F.lit(True))
+    rows = rows.withColumn("free", free).withColumn("own", F.when(free, F.col("first") + F.pmod(F.xxhash64("id"), F.col("others"))).otherwise(F.pmod(F.xxhash64("id"), F.greatest("first", one))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("free"), zero).otherwise(F.col("first")), F.col("first") + F.col("others") - 1)))
+    rows = rows.select("centre", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "component", "n", "d")
     rows = rows.repartition(partitions, "centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi")
     schema = arrow_schema("u long, v long")
 
@@ -287,12 +319,12 @@ def _links(documents: DataFrame, sets: DataFrame, percent: int, words: int, per_
 
     # Centres whose members are not all in one component.
     named = placed.select("centre", "id").distinct().join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("centre")
-    left = checkpointed(named.join(mixed, "centre", "left_semi").select("centre", "id", "component"))
+    mixed = checkpointed(named.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("centre"))
+    left = checkpointed(named.join(_sent(mixed), "centre", "left_semi").select("centre", "id", "component"))
     if left.isEmpty():
         return first
     full = _full_sets(documents, left.select(F.explode(F.array("centre", "id")).alias("_id")).distinct(), words)
-    more = checkpointed(_joining(_differences(left, full), percent, partitions_for(documents.sparkSession)))
+    more = checkpointed(_joining(checkpointed(_differences(left, full)), percent, partitions_for(documents.sparkSession)))
     return components(more.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
