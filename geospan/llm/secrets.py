@@ -1,13 +1,18 @@
 """Secrets: probabilistic automata of credential formats, inferred from labelled examples.
 
-The labelled credentials of a format go into a prefix tree with counts. States
-whose outgoing frequencies agree by Hoeffding's bound, and whose successors do,
-are merged (state merging in breadth-first order), which leaves a small
-probabilistic automaton per format. A candidate's score is its log likelihood under
-the best automaton, less that under a model of ordinary words; candidates
-above a threshold are secrets. Candidates also start and end within a run of
-their characters: behind and before the characters that join names and values,
-and wherever a format's literal prefix is.
+The labelled credentials of a format, whole with their prefixes, go into a
+prefix tree with counts. A character that most examples of a node share is an
+edge of its own; the rest share one edge, on which the classes of characters are
+counted, so that a tree over random bodies does not thin out. States with enough
+examples are merged, in breadth-first order, if the frequencies
+of their ends, edges and classes agree by Hoeffding's bound, and those of their
+successors do: a format of fixed length keeps its length, one without a length
+becomes a loop. A candidate's score is its log likelihood under the best
+automaton, less that under a model of ordinary text, whose pairs of characters
+are counted over all documents; candidates above a threshold are secrets.
+Candidates also start and end within a run of their characters: behind and
+before the characters that join names and values, and wherever a format's
+literal prefix is.
 """
 
 from __future__ import annotations
@@ -16,13 +21,15 @@ import math
 import random
 import re
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geospan.llm.common import Taken, lean, lower_ascii, map_texts, sha256_hex
+from geospan.llm.common import Taken, arrow_schema, lean, lower_ascii, map_texts, sha256_hex
 
 # Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "token")
@@ -36,13 +43,20 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 SHORTEST = 16
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 _JOINTS = frozenset("+/=_-")
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 
 #: Labelled credentials of each format that the automata are fitted on (a bounded sample), confidence of the state merging, and the least score of a secret.
-EXAMPLES, ALPHA, LEAST = 400, 0.05, 2.0
+EXAMPLES, ALPHA, LEAST = 1000, 0.05, 2.0
+#: Chance below which it is no accident that one state never shows what the other one does.
+NEVER = 1e-4
+#: Least examples of two states that may be merged, and least examples and share of a node's for a character to be an edge of its own.
+EVIDENCE, OWN, OWN_SHARE = 30, 8, 0.3
+#: Weight of the even distribution in the model of ordinary text, in counts and as a share of a character's count.
+FLOOR, FLOOR_SHARE = 20.0, 0.1
 
 
 def labelled(n: int = EXAMPLES, seed: int = 7) -> dict[str, list[str]]:
-    """Examples of published credential formats; the labels are the format names."""
+    """Examples of published credential formats; the labels are the format names. Web tokens and keys have no fixed length."""
     rng = random.Random(seed)
     upper, lower, digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     mixed = upper + lower + digit
@@ -50,6 +64,9 @@ def labelled(n: int = EXAMPLES, seed: int = 7) -> dict[str, list[str]]:
     def some(letters: str, size: int) -> str:
         return "".join(rng.choice(letters) for _ in range(size))
 
+    def more(mean: int) -> int:
+        return int(rng.expovariate(1 / mean))
+
     formats: dict[str, Callable[[], str]] = {
         "cloud_access": lambda: "AKIA" + some(upper + digit, 16),
         "cloud_session": lambda: "ASIA" + some(upper + digit, 16),
@@ -58,54 +75,103 @@ def labelled(n: int = EXAMPLES, seed: int = 7) -> dict[str, list[str]]:
         "chat_bot": lambda: "xoxb-" + some(digit, 12) + "-" + some(digit, 12) + "-" + some(mixed, 24),
         "maps": lambda: "AIza" + some(mixed + "_-", 35),
         "payment": lambda: "sk_live_" + some(mixed, 24),
-        "web_token": lambda: "eyJ" + some(mixed + "_-", rng.randint(17, 60)),
+        "web_token": lambda: "eyJ" + some(mixed + "_-", 17 + more(60)),
         "digest": lambda: some(digit + "abcdef", rng.choice((32, 40, 64))),
-        "base64_key": lambda: some(mixed + "+/", 40),
+        "base64_key": lambda: some(mixed + "+/", 40 + more(60)),
     }
     return {name: [make() for _ in range(n)] for name, make in formats.items()}
 
 
+def examples_of(table: DataFrame, most: int = EXAMPLES) -> dict[str, list[str]]:
+    """Labelled credentials from a table ``format, credential``: of each format the ``most`` whose digests come first.
+
+    Rows with a null, and repeated rows, are left out; formats must be few.
+    """
+    rows = table.select(F.col("format").cast("string").alias("f"), F.col("credential").cast("string").alias("c")).where("f IS NOT NULL AND c IS NOT NULL AND c <> ''").distinct()
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("f").orderBy(F.sha2("c", 256)))).where(F.col("n") <= most)
+    out: dict[str, list[str]] = defaultdict(list)
+    for r in rows.orderBy("f", "n").collect():  # at most ``most`` a format
+        out[r.f].append(r.c)
+    return dict(out)
+
+
+def character_class(char: str) -> str:
+    """Letters and digits by kind; a hexadecimal letter apart; other characters are themselves."""
+    return "d" if "0" <= char <= "9" else "h" if "a" <= char <= "f" else "l" if "g" <= char <= "z" else "U" if "A" <= char <= "Z" else char
+
+
+#: Characters of each class, of those that candidates have.
+_MEMBERS: dict[str, str] = {}
+for _char in LETTERS:
+    _MEMBERS[character_class(_char)] = _MEMBERS.get(character_class(_char), "") + _char
+#: The edge that all characters without one of their own share.
+_REST = ""
+
+
 class Automaton:
     """A probabilistic automaton, inferred by merging compatible states of a prefix tree."""
 
     def __init__(self, examples: Iterable[str], alpha: float = ALPHA, classes: Callable[[str], str] | None = None):
-        self.classes = classes or character_class
-        counts: list[dict[str, int]] = [defaultdict(int)]
-        ends: list[int] = [0]
-        to: list[dict[str, int]] = [{}]
-        for example in examples:
-            state = 0
-            for symbol in map(self.classes, example):
-                counts[state][symbol] += 1
-                if symbol not in to[state]:
-                    to[state][symbol] = len(to)
-                    to.append({})
-                    counts.append(defaultdict(int))
-                    ends.append(0)
-                state = to[state][symbol]
-            ends[state] += 1
-        self.counts, self.ends, self.to, self.alpha = counts, ends, to, alpha
+        self.classes, self.members = (classes, {}) if classes else (character_class, _MEMBERS)
+        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        self._grow(list(examples))
         self._merge()
         self._weigh()
 
-    def _total(self, q: int) -> int:
-        return self.ends[q] + sum(self.counts[q].values())
+    def _grow(self, examples: list[str]) -> None:
+        """The prefix tree: of each node the examples that pass, that end, that take each edge, and the classes on the shared edge."""
+        self.total: list[int] = []
+        self.ends: list[int] = []
+        self.counts: list[Counter] = []
+        self.kinds: list[Counter] = []
+        self.to: list[dict[str, int]] = []
+        todo = [(self._node(examples, 0), examples, 0)]
+        while todo:
+            node, texts, at = todo.pop()
+            going = [x for x in texts if len(x) > at]
+            chars = Counter(x[at] for x in going)
+            own = {c for c, n in chars.items() if n >= max(OWN, OWN_SHARE * len(texts))}
+            parts: dict[str, list[str]] = defaultdict(list)
+            for x in going:
+                parts[x[at] if x[at] in own else _REST].append(x)
+            self.kinds[node].update(self.classes(x[at]) for x in parts.get(_REST, ()))
+            for symbol, part in sorted(parts.items()):
+                self.counts[node][symbol] = len(part)
+                self.to[node][symbol] = child = self._node(part, at + 1)
+                todo.append((child, part, at + 1))
+
+    def _node(self, examples: list[str], at: int) -> int:
+        self.total.append(len(examples))
+        self.ends.append(sum(len(x) == at for x in examples))
+        self.counts.append(Counter())
+        self.kinds.append(Counter())
+        self.to.append({})
+        return len(self.to) - 1
 
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
-        """Hoeffding's bound on two frequencies."""
-        return n > 0 and m > 0 and abs(a / n - b / m) > math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+        """Hoeffding's bound on two frequencies; what one state never shows must be likely not to be seen at the other's rate."""
+        if not n or not m or a == b == 0:
+            return False
+        if (a == 0 and n >= EVIDENCE and b >= OWN and (1 - b / m) ** n < NEVER) or (b == 0 and m >= EVIDENCE and a >= OWN and (1 - a / n) ** m < NEVER):
+            return True
+        return abs(a / n - b / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
     def _compatible(self, p: int, q: int) -> bool:
-        """Whether the frequencies of two states and of their successors agree."""
+        """Whether two states have examples enough, and their frequencies and those of their successors agree."""
+        if min(self.total[p], self.total[q]) < EVIDENCE:
+            return False
         todo, seen = [(p, q)], set()
         while todo:
             p, q = todo.pop()
             if (p, q) in seen or p == q:
                 continue
             seen.add((p, q))
-            n, m = self._total(p), self._total(q)
-            if self._differ(self.ends[p], n, self.ends[q], m) or any(self._differ(self.counts[p].get(s, 0), n, self.counts[q].get(s, 0), m) for s in self.counts[p].keys() | self.counts[q].keys()):
+            n, m = self.total[p], self.total[q]
+            if self._differ(self.ends[p], n, self.ends[q], m):
                 return False
+            for mine, other in ((self.counts[p], self.counts[q]), (self.kinds[p], self.kinds[q])):
+                if any(self._differ(mine[s], n, other[s], m) for s in mine.keys() | other.keys()):
+                    return False
             todo += [(self.to[p][s], self.to[q][s]) for s in self.to[p].keys() & self.to[q].keys()]
         return True
 
@@ -114,9 +180,10 @@ class Automaton:
         todo = [(p, q)]
         while todo:
             p, q = todo.pop()
+            self.total[p] += self.total[q]
             self.ends[p] += self.ends[q]
-            for symbol, n in self.counts[q].items():
-                self.counts[p][symbol] += n
+            self.counts[p] += self.counts[q]
+            self.kinds[p] += self.kinds[q]
             for symbol, child in self.to[q].items():
                 if symbol in self.to[p]:
                     todo.append((self.to[p][symbol], child))
@@ -124,68 +191,167 @@ class Automaton:
                     self.to[p][symbol] = child
 
     def _merge(self) -> None:
-        red, blue = [0], [(0, s) for s in sorted(self.to[0])]
-        while blue:
-            parent, symbol = blue.pop(0)
+        kept, fringe = [0], [(0, s) for s in sorted(self.to[0])]
+        while fringe:
+            parent, symbol = fringe.pop(0)
             q = self.to[parent][symbol]
-            if q in red:
+            if q in kept:
                 continue
-            for p in red:
-                if self._compatible(p, q):
-                    self.to[parent][symbol] = p
-                    self._fold(p, q)
-                    break
+            p = next((p for p in kept if self._compatible(p, q)), None)
+            if p is None:
+                kept.append(q)
             else:
-                red.append(q)
-            blue = [(r, s) for r in red for s in sorted(self.to[r]) if self.to[r][s] not in red]
-        self.states = red
+                self.to[parent][symbol] = p
+                self._fold(p, q)
+            fringe = [(r, s) for r in kept for s in sorted(self.to[r]) if self.to[r][s] not in kept]
+        self.states = kept
 
     def _weigh(self) -> None:
+        """Log probabilities: of each character from each state, and of the end. What no example shows is impossible."""
         self.steps: dict[int, dict[str, tuple[int, float]]] = {}
         self.stop: dict[int, float] = {}
         for q in self.states:
-            total = self._total(q)
-            self.steps[q] = {s: (self.to[q][s], math.log(n / total)) for s, n in self.counts[q].items()}
+            total, steps = self.total[q], {}
+            for kind, n in self.kinds[q].items():
+                chars = self.members.get(kind, kind)
+                for char in chars:
+                    steps[char] = (self.to[q][_REST], math.log(n / total / len(chars)))
+            steps |= {s: (self.to[q][s], math.log(n / total)) for s, n in self.counts[q].items() if s != _REST}
+            self.steps[q] = steps
             self.stop[q] = math.log(self.ends[q] / total) if self.ends[q] else -math.inf
 
+    def prefix(self) -> str:
+        """The characters that all examples begin with."""
+        state, out = 0, ""
+        while len(self.counts[state]) == 1 and not self.ends[state] and len(out) < SHORTEST:
+            (symbol,) = self.counts[state]
+            if symbol == _REST:
+                break
+            state, out = self.to[state][symbol], out + symbol
+        return out
+
     def log_likelihood(self, text: str) -> float:
-        """Of the characters, given that each of a class is as likely as the others of it."""
         state, total = 0, 0.0
         for char in text:
-            symbol = self.classes(char)
-            step = self.steps[state].get(symbol)
+            step = self.steps[state].get(char)
             if step is None:
                 return -math.inf
             state = step[0]
-            total += step[1] - _SIZE.get(symbol, 0.0)
+            total += step[1]
         return total + self.stop[state]
 
 
-def character_class(char: str) -> str:
-    """Letters and digits by kind; a hexadecimal letter apart; other characters are themselves."""
-    return "d" if "0" <= char <= "9" else "h" if "a" <= char <= "f" else "l" if "g" <= char <= "z" else "U" if "A" <= char <= "Z" else char
+class Background:
+    """Ordinary text: the probability of a candidate's character after the one before it, or (place 0) at the start of a run."""
+
+    def __init__(self, logs: np.ndarray):
+        self.logs = [row.tolist() for row in logs]
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Background:
+        """``counts[b, c]``: how often c follows b; smoothed towards what classes of characters make likely."""
+        n = counts.sum(1, keepdims=True)
+        floor = FLOOR + FLOOR_SHARE * n
+        return cls(np.log((counts + floor * np.exp(cls.prior_logs())) / (n + floor)))
+
+    @staticmethod
+    def prior_logs() -> np.ndarray:
+        """Lower-case runs are likely, changes of class are not."""
+        kind = lambda c: "l" if character_class(c) in "hl" else character_class(c)
+        out = np.empty((len(LETTERS) + 1, len(LETTERS) + 1))
+        for i, before in enumerate("^" + LETTERS):
+            weights = []
+            for char in LETTERS:
+                new, old = kind(char), kind(before)
+                if old == "^":
+                    weights.append({"l": 0.6, "d": 0.1, "U": 0.3}.get(new, 0.02) / len(_SAME[new]))
+                elif new == old:
+                    weights.append({"l": 0.9, "d": 0.6, "U": 0.6}.get(new, 0.3) / len(_SAME[new]))
+                else:
+                    weights.append({"l": 0.05 if old == "d" else 0.25, "d": 0.02, "U": 0.02}.get(new, 0.02) / len(_SAME[new]))
+            out[i, 1:] = np.log(np.array(weights) / sum(weights))
+        out[:, 0] = -30.0
+        return out
+
+    @classmethod
+    def prior(cls) -> Background:
+        """Where no documents are at hand."""
+        return cls(cls.prior_logs())
+
+    def of_run(self, text: str) -> list[float]:
+        """Log probability of each character of a run; the first as the start."""
+        places = [_PLACE[c] for c in text]
+        return [self.logs[b][c] for b, c in zip([0, *places], places)]  # noqa: B905
+
+
+_SAME: dict[str, str] = {}
+for _char in LETTERS:
+    _kind = "l" if character_class(_char) in "hl" else character_class(_char)
+    _SAME[_kind] = _SAME.get(_kind, "") + _char
+_PLACE = {c: i + 1 for i, c in enumerate(LETTERS)}
+_PLACES = np.zeros(256, np.uint16)
+for _char, _at in _PLACE.items():
+    _PLACES[ord(_char)] = _at
 
 
-#: Log of the number of characters of each class.
-_SIZE = {"d": math.log(10), "h": math.log(6), "l": math.log(20), "U": math.log(26)}
+def background(df: DataFrame, text_col: str = "text") -> Background:
+    """Pairs of characters counted over the whole texts of all rows; an empty table gives the prior.
+
+    Counted on the bytes of the Arrow batches; the driver receives one number for
+    each pair of the few characters that candidates have.
+    """
+    size = len(LETTERS) + 1
+    schema = arrow_schema("pair int, n long")
+
+    def run(batches):
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            texts = batch.column(0).cast(pa.large_binary())
+            _, offsets, data = texts.buffers()
+            if data is None:
+                continue
+            ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            for a in range(int(ends[0]), int(ends[-1]), 1 << 20):
+                b = min(a + (1 << 20), int(ends[-1]))
+                before = max(a - 1, int(ends[0]))
+                place = _PLACES[np.frombuffer(data, np.uint8)[before:b]]
+                first = place.copy()
+                first[ends[(ends >= before + 1) & (ends <= b)] - before - 1] = 0  # the last byte of a text comes before no other
+                total += np.bincount(first[:-1] * np.uint16(size) + place[1:], minlength=size * size)
+                if before == a and b > a:
+                    total[place[0]] += 1
+        some = np.flatnonzero(total)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], schema=schema)
+
+    rows = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(lean(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros((size, size))
+    for r in rows:
+        counts[divmod(r.pair, size)] = r.n
+    counts[:, 0] = 0
+    return Background.of(counts) if counts.any() else Background.prior()
 
 
 class Scorer:
-    """Automata of all formats, each behind the literal prefix that its examples share, against a model of ordinary text."""
+    """Automata of all formats against a model of ordinary text; each with the literal prefix of its examples."""
 
-    def __init__(self, examples: dict[str, list[str]], alpha: float = ALPHA):
-        self.formats = {}
+    def __init__(self, examples: dict[str, list[str]], alpha: float = ALPHA, ordinary: Background | None = None):
+        self.ordinary = ordinary or Background.prior()
+        self.formats: dict[str, tuple[str, Automaton]] = {}
         for name, texts in sorted(examples.items()):
-            prefix = texts[0]
-            while not all(text.startswith(prefix) for text in texts):
-                prefix = prefix[:-1]
-            self.formats[name] = (prefix, Automaton((text[len(prefix) :] for text in texts), alpha))
+            automaton = Automaton(texts, alpha)
+            self.formats[name] = (automaton.prefix(), automaton)
+
+    def against(self, ordinary: Background) -> Scorer:
+        """The same formats against another model of ordinary text."""
+        out = Scorer({})
+        out.formats, out.ordinary = self.formats, ordinary
+        return out
 
     def score(self, text: str) -> tuple[float, str]:
         """The best format's log-likelihood ratio, and the format."""
-        plain = sum(map(_plain, text, "^" + text))
-        best, name = max((automaton.log_likelihood(text[len(prefix) :]) if text.startswith(prefix) else -math.inf, name) for name, (prefix, automaton) in self.formats.items())
-        return best - plain, name
+        best, name = max((automaton.log_likelihood(text), name) for name, (_, automaton) in self.formats.items())
+        return (best - sum(self.ordinary.of_run(text)) if best > -math.inf else best), name
 
     def spans(self, text: str) -> list[tuple[int, int, float]]:
         """``(start, end, score)`` of the credentials in the run ``text``.
@@ -195,8 +361,8 @@ class Scorer:
         with the best score. What can still be scored from a state at a place is
         kept for the starts that come to it later, so long runs cost linear time.
         """
-        n, symbols = len(text), [character_class(c) for c in text]
-        plain = list(map(_plain, text, "^" + text))
+        n = len(text)
+        plain = self.ordinary.of_run(text)
         ends = [c in _JOINTS for c in text] + [True]
         begins = [0, *(i + 1 for i in range(n) if ends[i])]
         found: list[tuple[int, int]] = []
@@ -206,7 +372,7 @@ class Scorer:
             for s in (m.start() for m in re.finditer(f"(?={re.escape(prefix)})", text)) if prefix else begins:
                 if s < done or s + SHORTEST > n:
                     continue
-                far = _furthest(automaton, s, s + len(prefix), text, symbols, plain, ends, known)
+                far = _furthest(automaton, s, text, plain, self.ordinary.of_run(text[s])[0], ends, known)
                 if far:
                     found.append((s, far))
                     done = far
@@ -222,25 +388,25 @@ class Scorer:
         return out
 
 
-def _furthest(automaton: Automaton, s: int, at: int, text: str, symbols: list[str], plain: list[float], ends: list[bool], known: dict[tuple[int, int], float]) -> int:
-    """The furthest end at which a candidate from ``s``, whose format's prefix ends at ``at``, scores ``LEAST``; 0 if there is none."""
-    n, state = len(symbols), 0
-    value = plain[s] - _plain(text[s], "^") - sum(plain[s:at])
+def _furthest(automaton: Automaton, s: int, text: str, plain: list[float], first: float, ends: list[bool], known: dict[tuple[int, int], float]) -> int:
+    """The furthest end at which a candidate from ``s`` scores ``LEAST``; 0 if there is none. ``first``: the log probability of its first character as a start."""
+    n, at, state = len(text), s, 0
+    value = plain[s] - first
     while at < s + SHORTEST:
-        step = automaton.steps[state].get(symbols[at])
+        step = automaton.steps[state].get(text[at])
         if step is None:
             return 0
-        value += step[1] - _SIZE.get(symbols[at], 0.0) - plain[at]
+        value += step[1] - plain[at]
         state, at = step[0], at + 1
 
     # The best that can be added from each place and state on the way, from its end backwards.
     way, i, q = [], at, state
     while (i, q) not in known:
-        step = automaton.steps[q].get(symbols[i]) if i < n else None
+        step = automaton.steps[q].get(text[i]) if i < n else None
         if step is None:
             known[i, q] = automaton.stop[q] if ends[i] else -math.inf
             break
-        way.append((i, q, step[1] - _SIZE.get(symbols[i], 0.0) - plain[i]))
+        way.append((i, q, step[1] - plain[i]))
         i, q = i + 1, step[0]
     best = known[i, q]
     for i, q, gain in reversed(way):
@@ -251,25 +417,14 @@ def _furthest(automaton: Automaton, s: int, at: int, text: str, symbols: list[st
     while value + known[at, state] >= LEAST:
         if ends[at] and value + automaton.stop[state] >= LEAST:
             far = at
-        step = automaton.steps[state].get(symbols[at]) if at < n else None
+        step = automaton.steps[state].get(text[at]) if at < n else None
         if step is None:
             break
-        value += step[1] - _SIZE.get(symbols[at], 0.0) - plain[at]
+        value += step[1] - plain[at]
         state, at = step[0], at + 1
     return far
 
 
-def _plain(char: str, before: str) -> float:
-    """Log probability of a character in ordinary words and file names: lower-case runs are likely, changes of class are not."""
-    kind, last = character_class(char), character_class(before)
-    kind, last = ("l" if k == "h" else k for k in (kind, last))
-    if kind == last:
-        return {"l": math.log(0.9 / 12), "d": math.log(0.6 / 10), "U": math.log(0.6 / 15)}.get(kind, math.log(0.3))
-    if last == "^":
-        return {"l": math.log(0.6 / 15), "d": math.log(0.1 / 10), "U": math.log(0.3 / 15)}.get(kind, math.log(0.02))
-    return {"l": math.log(0.05 / 15 if last == "d" else 0.25 / 15), "d": math.log(0.01 / 10), "U": math.log(0.01 / 15)}.get(kind, math.log(0.02))
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind number, end)`` of the fixed rules."""
     found = []
@@ -307,25 +462,20 @@ def find(text: str, scorer: Scorer) -> list[tuple[int, str, int, float]]:
     return [(s, KINDS[k], e, value) for s, k, e, value in sorted(out)]
 
 
-_SCORERS: dict[float, Scorer] = {}
+def fitted(df: DataFrame, examples: dict[str, list[str]] | DataFrame | None = None, text_col: str = "text") -> Scorer:
+    """Automata of the labelled credentials (by format, or a table ``format, credential``; by default ``labelled()``), against the ordinary text of ``df``."""
+    given = labelled() if examples is None else examples_of(examples) if isinstance(examples, DataFrame) else examples
+    return Scorer(given, ordinary=background(df, text_col))
 
 
-def _scorer(examples: dict[str, list[str]] | None) -> Scorer:
-    if examples is not None:
-        return Scorer(examples)
-    if ALPHA not in _SCORERS:
-        _SCORERS[ALPHA] = Scorer(labelled())
-    return _SCORERS[ALPHA]
-
-
-def find_secrets(df: DataFrame, examples: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(df: DataFrame, examples: dict[str, list[str]] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row ``doc_id, kind, start, end, score`` per span, in code points; null text has none, repeated rows repeat.
 
-    ``examples``: labelled credentials by format; by default those of ``labelled()``.
+    ``examples``: labelled credentials by format, or a table of them; by default those of ``labelled()``.
     """
+    scorer = fitted(df, examples, text_col)
 
     def make():
-        scorer = _scorer(examples)
         return lambda key, text: [(key, kind, s, e, v if math.isfinite(v) else -99.0) for s, kind, e, v in find(text, scorer)]
 
     return map_texts(df, make, "doc_id long, kind string, start long, end long, score double", id_col, text_col)
@@ -334,16 +484,14 @@ def find_secrets(df: DataFrame, examples: dict[str, list[str]] | None = None, id
 def redact(df: DataFrame, mark: str = "[secret]", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``df`` with every secret in ``text`` replaced by ``mark``; spans that touch or overlap become one mark.
 
-    All other columns and all rows stay. Null text stays null. ``chars_col``, if
-    the table has it, is counted anew.
+    All other columns and all rows stay, repeated rows too. Null and empty text
+    stay as they are. ``chars_col``, if the table has it, is counted anew.
     """
-    schema = df.schema
+    schema, scorer = df.schema, fitted(df, None, text_col)
     names = df.columns
 
     def run(batches):
-        import pyarrow as pa
-
-        scorer, at = _scorer(None), names.index(text_col)
+        at = names.index(text_col)
         for batch in batches:
             texts = batch.column(at)
             out = []
@@ -369,18 +517,18 @@ def secrets_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: counts of the base kinds, the digest of the base spans, and all spans.
 
     Null or empty text counts 0 and has the digest of the empty string; a null
-    id is kept; repeated rows stay repeated. One narrow stage.
+    id is kept; repeated rows stay repeated. Two narrow stages: the pairs of
+    characters of ordinary text are counted first.
     """
+    scorer = fitted(df, None, text_col)
 
     def make():
-        scorer = _scorer(None)
-
         def one(key, text):
             spans = find(text, scorer)
             base = [x for x in spans if x[1] != "token"]
             kinds = [x[1] for x in base]
-            yield key, *(kinds.count(k) for k in KINDS[:3]), sha256_hex(",".join(f"{k}:{s}:{e}" for s, k, e, _ in base)), ",".join(f"{k}:{s}:{e}" for s, k, e, _ in spans)
+            yield key, *(kinds.count(k) for k in KINDS[:3]), sha256_hex(",".join(f"{k}:{s}:{e}" for s, k, e, _ in base)), ",".join(f"{k}:{s}:{e}" for s, k, e, _ in spans), len(spans)
 
         return one
 
-    return map_texts(df, make, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string", id_col, text_col)
+    return map_texts(df, make, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long", id_col, text_col)
