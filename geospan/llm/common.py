@@ -7,6 +7,7 @@ never reach its plan.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 from bisect import bisect_left
@@ -43,26 +44,37 @@ def sha256_hex(data: str | bytes) -> str:
     return hashlib.sha256(data.encode("utf-8", "surrogatepass") if isinstance(data, str) else data).hexdigest()
 
 
+def give_back() -> None:
+    """Let the C library return freed memory to the system: from now on blocks of a megabyte and more at once, the rest now."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt") and hasattr(libc, "malloc_trim"):
+        for option, value in ((-3, 1 << 20), (-1, 4 << 20)):  # thresholds of mapping a block by itself, and of trimming the heap
+            libc.mallopt(option, value)
+        libc.malloc_trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, during which Arrow buffers that are freed go back to the system: workers of one executor don't all keep their peaks."""
+    """``run`` in a worker that gives freed memory back: workers of one executor don't all keep their peaks."""
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         usual = pa.default_memory_pool()
         pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
             pa.set_memory_pool(usual)
+            give_back()
 
     return inside
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[object, str], Iterable[tuple]]], ddl: str, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
-    """Apply a per-document Python function in Arrow batches, one narrow stage and no shuffle.
+def map_lists(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], ddl: str, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
+    """Apply a Python function to lists of ids and whole texts (null: empty), in Arrow batches: one narrow stage and no shuffle.
 
-    ``make`` builds the function once in each worker; the function gets the id,
-    the whole text (null: empty) and the ``keep`` columns, and yields rows of
-    ``ddl``. Few rows are held as Python objects at a time.
+    ``make`` builds the function once in each task; the function gets the lists
+    of ids, texts and ``keep`` columns of a few rows, and yields rows of ``ddl``.
+    Few rows are held as Python objects at a time.
     """
     schema, keep = arrow_schema(ddl), list(keep)
 
@@ -70,14 +82,23 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[object, str], Iterable
         function = make()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                rows = [row for values in zip(*(c.to_pylist() for c in part.columns), strict=True) for row in function(*values)]
+                rows = list(function(*(c.to_pylist() for c in batch.slice(at, ROWS_AT_ONCE).columns)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))).mapInArrow(lean(run), ddl)
 
 
+def map_texts(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], ddl: str, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
+    """``map_lists`` with a function of one id, text and ``keep`` columns."""
+
+    def one_by_one():
+        function = make()
+        return lambda *columns: (row for values in zip(*columns, strict=True) for row in function(*values))
+
+    return map_lists(df, one_by_one, ddl, id_col, text_col, keep)
+
+
 class Taken:
     """A set of spans that is asked whether it meets another span."""
 
