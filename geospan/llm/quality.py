@@ -1,9 +1,11 @@
 """Quality rules: a linear-chain conditional random field labels lines as content or boilerplate.
 
 Each line is described by a few ratios; the field is fitted by gradient ascent
-on a bounded sample of labelled documents, and Viterbi decoding finds the best
-labels of all lines of a document together. A document stays if it passes the
-fixed rules and enough of its words are in content lines.
+on a bounded sample of labelled documents. Lines of good documents are content,
+those of bad ones boilerplate, and so that the field sees one turn into the
+other, lines of a bad document are also put between those of a good one. Viterbi
+decoding finds the best labels of all lines of a document together. A document
+stays if it passes the fixed rules and enough of its words are in content lines.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +24,8 @@ SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
 #: Least words, and most percent of words in repeated windows, of the base rules.
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: Labelled documents of each label that the field is fitted on, and lines of each that are read.
-SAMPLE, SAMPLE_LINES = 300, 64
+#: Labelled documents of each label that the field is fitted on, and runs of lines, evenly spaced over the whole document, that are read of each.
+SAMPLE, RUNS, RUN_LINES = 300, 4, 16
 #: Least share of words in content lines.
 CONTENT_SHARE = 0.5
 
@@ -97,23 +100,24 @@ class Field:
         return cls(emit, np.array([[0.5, -0.5], [-0.5, 0.5]]), np.zeros(2))
 
     @classmethod
-    def fit(cls, documents: list[tuple[list[tuple[float, ...]], int]], rounds: int = 120, rate: float = 0.1, penalty: float = 0.02) -> Field:
-        """Maximum penalised likelihood; documents: line features, and the label of all lines.
+    def fit(cls, documents: list[tuple[list[tuple[float, ...]], list[int]]], rounds: int = 120, rate: float = 0.1, penalty: float = 0.02) -> Field:
+        """Maximum penalised likelihood; documents: features and labels of their lines.
 
-        The batch is padded to the longest document; forward and backward
-        sums run over all documents at once. Both labels weigh the same.
+        The batch is padded to the longest document; forward and backward sums
+        run over all documents at once. Documents of content only, of boilerplate
+        only, and of both weigh the same together.
         """
         documents = [(f, y) for f, y in documents if f]
-        if len({y for _, y in documents}) < 2:
+        if len({label for _, y in documents for label in y}) < 2:
             return cls.prior()
         n, longest, d = len(documents), max(len(f) for f, _ in documents), len(FEATURES)
-        x, there, label = np.zeros((n, longest, d)), np.zeros((n, longest)), np.array([y for _, y in documents])
-        for i, (f, _) in enumerate(documents):
+        x, there, gold = np.zeros((n, longest, d)), np.zeros((n, longest)), np.zeros((n, longest, 2))
+        for i, (f, y) in enumerate(documents):
             x[i, : len(f)], there[i, : len(f)] = f, 1
+            gold[i, np.arange(len(y)), y] = 1
         sizes = there.sum(1).astype(int)
-        weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum())) / sizes
-        gold = np.zeros((n, longest, 2))
-        gold[np.arange(n)[:, None], np.arange(longest)[None, :], label[:, None]] = there
+        kind = np.where(gold[:, :, 1].sum(1) == 0, 0, np.where(gold[:, :, 0].sum(1) == 0, 1, 2))
+        weight = 1 / np.bincount(kind, minlength=3).clip(1)[kind] / len(np.unique(kind)) / sizes
         theta = [cls.prior().emit, cls.prior().move, np.zeros(2)]
         moments = [(np.zeros_like(t), np.zeros_like(t)) for t in theta]
         rows = np.arange(n)
@@ -147,25 +151,50 @@ class Field:
         return cls(*theta)
 
 
+def evenly(lines: list, runs: int = RUNS, size: int = RUN_LINES) -> list:
+    """Runs of consecutive lines, evenly spaced from the first line to the last; all lines if they are no more than that."""
+    if len(lines) <= runs * size:
+        return lines
+    starts = [round(k * (len(lines) - size) / (runs - 1)) for k in range(runs)]
+    return [line for a in starts for line in lines[a : a + size]]
+
+
+def with_turns(good: list[list], bad: list[list]) -> list[tuple[list, list[int]]]:
+    """Line labels for documents of content, of boilerplate, and of content with boilerplate behind its first half."""
+    out = [(lines, [0] * len(lines)) for lines in good] + [(lines, [1] * len(lines)) for lines in bad]
+    for k in range(max(len(good), len(bad)) if good and bad else 0):
+        g, b = good[k % len(good)], bad[k % len(bad)]
+        half = (len(g) + 1) // 2
+        out.append((g[:half] + b + g[half:], [0] * half + [1] * len(b) + [0] * (len(g) - half)))
+    return out
+
+
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Fit on at most ``sample`` documents of each quality label, the ones whose ids hash lowest.
 
-    The driver receives the features of at most ``SAMPLE_LINES`` lines of each.
-    Documents without text or label are left out; with one label only, the prior is returned.
+    The driver receives the features of at most ``RUNS`` times ``RUN_LINES`` lines
+    of each, from all over the document. Documents without text, id or label are
+    left out; of two labels of a document the larger counts; rows that repeat an
+    id count each, up to four times the sample. With one label only, or none, the
+    prior is returned.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
+    known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     picked = None
     for y in (0, 1):
-        part = known.where(F.col("_y") == y).groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+        part = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
     rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(picked), "_id")  # at most 2 * sample rows
 
     def one(key, text, y):
-        yield key, y, [v for line in lines_of(text.encode("utf-8", "surrogatepass"))[0][:SAMPLE_LINES] for v in line]
+        yield key, y, [v for line in evenly(lines_of(text.encode("utf-8", "surrogatepass"))[0]) for v in line]
 
-    got = map_texts(rows, lambda: one, "doc_id long, y int, flat array<double>", "_id", "_text", ["_y"]).orderBy("doc_id").limit(4 * sample).collect()
-    d = len(FEATURES)
-    return Field.fit([([tuple(r.flat[i : i + d]) for i in range(0, len(r.flat), d)], 1 - r.y) for r in got])
+    got = map_texts(rows, lambda: one, "doc_id long, y int, flat array<double>", "_id", "_text", ["_y"]).orderBy("doc_id", F.hash("flat")).limit(4 * sample).collect()
+    d, lines = len(FEATURES), {0: [], 1: []}
+    for r in got:
+        if r.flat:
+            lines[r.y].append([tuple(r.flat[i : i + d]) for i in range(0, len(r.flat), d)])
+    return Field.fit(with_turns(lines[1], lines[0]))
 
 
 def n_repeated(words: list[bytes]) -> int:
@@ -203,12 +232,10 @@ def quality(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are kept, with all their columns."""
+    """The rows of ``df`` that are kept, with all their columns; rows with null or empty text go, repeated rows are kept or go together."""
     at = df.columns.index(text_col)
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             texts = batch.column(at)
             yield batch.filter(pa.array([judge(texts[i].as_py() or "", field)[6] for i in range(batch.num_rows)], pa.bool_()))
