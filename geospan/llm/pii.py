@@ -27,7 +27,15 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=\x20?[A-Z0-9])")
+# Characters of an international account number, by country, of the public registry; others have 15 to 34.
+IBAN_SIZES = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28,
+    "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+_ACCOUNT = re.compile(r"(?:\x20?[A-Z0-9]){15,34}")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NUMBER = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])")
 _WORD = re.compile(r"[A-Za-z]+")
@@ -60,6 +68,23 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", free)
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of their country's size that stand alone, in groups or not; where the size is not known the longest that the check confirms."""
+    free = 0
+    for head in _IBAN.finditer(text):
+        run = _ACCOUNT.match(text, head.start()) if head.start() >= free else None
+        if not run:
+            continue
+        ends = [at + 1 for at in range(run.start(), run.end()) if text[at] != " "]  # after each character
+        sizes = [IBAN_SIZES[head[1]]] if head[1] in IBAN_SIZES else range(34, 14, -1)
+        for size in sizes:
+            end = ends[size - 1] if size <= len(ends) else len(text) + 1
+            if end <= len(text) and not text[end : end + 1].isalnum() and mod97(text[run.start() : end].replace(" ", "")):
+                yield run.start(), end
+                free = end
+                break
+
+
 def _digits(text: str) -> str:
     return "".join(_DIGIT.findall(text))
 
@@ -80,9 +105,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", m.start(), m.end()
+    for start, end in _accounts(text):
+        yield "iban", start, end
     for kind, pattern in (("national", _NATIONAL), ("number", _NUMBER)):
         for m in pattern.finditer(text):
             yield kind, m.start(), m.end()
@@ -113,7 +137,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def pii_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: counts of the base kinds, the digest of the base spans, all spans and their scores.
+    """One row per input row: counts of the base kinds, the digest of the base spans, all spans, their scores and number.
 
     Null or empty text counts 0 and has the digest of the empty string; a null
     id is kept; repeated rows stay repeated. One narrow stage.
@@ -123,6 +147,6 @@ def pii_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         spans = find(text)
         said = [f"{kind}:{s}:{e}" for s, kind, e, _ in spans]
         kinds = [kind for _, kind, _, _ in spans]
-        yield key, *(kinds.count(k) for k in KINDS[:BASE]), sha256_hex(",".join(x for x, k in zip(said, kinds, strict=True) if k in KINDS[:BASE])), ",".join(said), ",".join(f"{v:.2f}" for *_, v in spans)
+        yield key, *(kinds.count(k) for k in KINDS[:BASE]), sha256_hex(",".join(x for x, k in zip(said, kinds, strict=True) if k in KINDS[:BASE])), ",".join(said), ",".join(f"{v:.2f}" for *_, v in spans), len(spans)
 
-    return map_texts(df, lambda: one, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string", id_col, text_col)
+    return map_texts(df, lambda: one, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string, n_spans long", id_col, text_col)
