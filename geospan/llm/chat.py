@@ -11,10 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geospan.llm.common import arrow_schema, checkpointed, sha256_hex
+from geospan.llm.common import arrow_schema, checkpointed, lean, sha256_hex
 
 # The template.
 START, END, TAIL = "<|im_start|>", "<|im_end|>", "\n"
@@ -64,10 +65,10 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 def paths(nodes: DataFrame) -> DataFrame:
     """Root-to-leaf paths of reply trees.
 
-    ``nodes``: ``node string, parent string`` (null: a root), ids unique. Returns
-    ``leaf, node, up``: each node on the way from the leaf, ``up`` steps above it.
-    A reply to a missing message starts a tree of its own; messages that reply
-    in a circle have no root and are on no path.
+    ``nodes``: ``node string, parent string`` (null: a root), ids unique over all
+    trees. Returns ``leaf, node, up``: each node on the way from the leaf, ``up``
+    steps above it. A reply to a missing message starts a tree of its own;
+    messages that reply in a circle have no root and are on no path.
     """
     nodes = checkpointed(nodes.select("node", "parent"))
     known = nodes.select(F.col("node").alias("parent"))
@@ -86,16 +87,24 @@ def paths(nodes: DataFrame) -> DataFrame:
     return found
 
 
-def conversations(messages: DataFrame, best: int | None = 1, score: Column | None = None) -> DataFrame:
+def conversations(messages: DataFrame, best: int | None = 1, score: Column | None = None, unique: bool = False) -> DataFrame:
     """The chosen paths of reply trees, written in the template.
 
     ``messages``: ``tree, node, parent, role, text`` as strings and, if ``score``
     is null, a double ``score`` (null: 0). The ``best`` paths of each tree by the
     sum of scores (ties: the smaller leaf id; None: all paths) are returned as
     ``tree, leaf, rank, n_turns, formatted, mask`` with ``mask`` the starts and
-    ends of the spans to learn from. Null role or text counts as empty.
+    ends of the spans to learn from. Null role or text counts as empty, and so do
+    a null tree's and node's ids. A message replies within its tree only, so trees
+    may use the same ids; of messages that share tree and node the first by
+    parent, role, text and score counts (``unique``: there are none, don't look).
+    A conversation is one row of the result, and must fit in one.
     """
-    rows = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(score if score is not None else F.col("score"), F.lit(0.0)).alias("score"))
+    rows = messages.select(F.coalesce("tree", F.lit("")).alias("tree"), F.coalesce("node", F.lit("")).alias("own"), "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(score if score is not None else F.col("score"), F.lit(0.0)).alias("score"))
+    if not unique and not rows.groupBy("tree", "own").count().where("count > 1").isEmpty():
+        rows = rows.groupBy("tree", "own").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "own", "m.*")
+    key = lambda c: F.concat("tree", F.lit("\0"), c)
+    rows = rows.select(key("own").alias("node"), key("parent").alias("parent"), "tree", "role", "text", "score")
     ways = paths(rows)
     weight = rows.select("node", "tree", "score")
     ranked = ways.join(weight, "node").groupBy("leaf").agg(F.first("tree").alias("tree"), F.sum("score").alias("total"), F.count("*").alias("n"))
@@ -105,19 +114,18 @@ def conversations(messages: DataFrame, best: int | None = 1, score: Column | Non
         ranked = ranked.withColumn("rank", F.lit(None).cast("int"))
     chosen = ways.join(ranked.select("leaf", "rank"), "leaf").join(rows.drop("score"), "node")
     whole = chosen.groupBy("leaf").agg(F.first("tree").alias("tree"), F.first("rank").alias("rank"), F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
+    whole = whole.withColumn("leaf", F.expr("substring(leaf, length(tree) + 2)"))
     ddl = "tree string, leaf string, rank int, n_turns long, formatted string, mask array<long>"
     schema = arrow_schema(ddl)
 
     def write(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256).to_pylist()
                 done = [render((t["role"], t["text"]) for t in row["turns"]) for row in part]
                 yield pa.RecordBatch.from_pylist([{"tree": r["tree"], "leaf": r["leaf"], "rank": r["rank"], "n_turns": len(r["turns"]), "formatted": text, "mask": [x for span in mask for x in span]} for r, (text, mask) in zip(part, done, strict=True)], schema=schema)
 
-    return whole.select("tree", "leaf", "rank", "turns").mapInArrow(write, ddl)
+    return whole.select("tree", "leaf", "rank", "turns").mapInArrow(lean(write), ddl)
 
 
 def as_messages(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -142,8 +150,6 @@ def chat_digest(formatted: DataFrame) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def read(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = []
@@ -153,7 +159,7 @@ def chat_digest(formatted: DataFrame) -> DataFrame:
                     rows.append({"conv_id": int(tree) if tree else None, "n_turns": len(turns), "turns_sha256": sha256_hex("".join(f"{r}\n{t}\n" for r, t in turns)), "loss_chars": len(learnt), "loss_sha256": sha256_hex(learnt), "formatted_chars": len(text)})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return formatted.select("tree", "formatted", "mask").mapInArrow(read, ddl)
+    return formatted.select("tree", "formatted", "mask").mapInArrow(lean(read), ddl)
 
 
 #: DuckDB SQL for the query over ``conversations``.
