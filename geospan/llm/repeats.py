@@ -71,13 +71,14 @@ def _unpack(data: bytes) -> bytes:
 
 
 def pack_blocks(df: DataFrame, id_col: str, text_col: str, size: int, block_bytes: int, group_bytes: int) -> DataFrame:
-    """``group, block, ids, known, rows, pieces, own, sizes, data``: consecutive documents in blocks.
+    """``group, block, ids, known, rows, pieces, own, sizes, cuts, data``: consecutive documents in blocks.
 
     A document of more than ``block_bytes`` is cut into pieces; a piece holds
     ``own`` bytes, and behind them the bytes that its last windows reach into.
-    ``rows`` numbers the rows of the table, ``pieces`` is -1 for whole documents.
+    ``rows`` numbers the rows of the table, ``pieces`` is -1 for whole documents,
+    ``cuts`` are the stretches.
     """
-    ddl = "group long, block long, ids binary, known binary, rows binary, pieces binary, own binary, sizes binary, data binary"
+    ddl = "group long, block long, ids binary, known binary, rows binary, pieces binary, own binary, sizes binary, cuts binary, data binary"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -86,9 +87,11 @@ def pack_blocks(df: DataFrame, id_col: str, text_col: str, size: int, block_byte
         now = {"bytes": 0, "block": base, "group": base, "in_group": 0, "row": base}
 
         def block():
-            ids = [h[0] for h in held]
+            ids, data = [h[0] for h in held], b"".join(h[4] for h in held)
+            sizes = np.array([len(h[4]) for h in held], "<i8")
+            cuts = _cut(np.frombuffer(data, np.uint8), sizes, [i is not None for i in ids], size)
             row = {"group": now["group"], "block": now["block"], "ids": np.array([0 if i is None else i for i in ids], "<i8").tobytes(), "known": np.array([i is not None for i in ids]).tobytes()}
-            row |= {"rows": np.array([h[1] for h in held], "<i8").tobytes(), "pieces": np.array([h[2] for h in held], "<i4").tobytes(), "own": np.array([h[3] for h in held], "<i8").tobytes(), "sizes": np.array([len(h[4]) for h in held], "<i8").tobytes(), "data": _pack(b"".join(h[4] for h in held))}
+            row |= {"rows": np.array([h[1] for h in held], "<i8").tobytes(), "pieces": np.array([h[2] for h in held], "<i4").tobytes(), "own": np.array([h[3] for h in held], "<i8").tobytes(), "sizes": sizes.tobytes(), "cuts": _pack(_cuts_out(*cuts)), "data": _pack(data)}
             now["in_group"] += now["bytes"]
             now["block"] += 1
             if now["in_group"] >= group_bytes:
@@ -125,22 +128,89 @@ def pack_blocks(df: DataFrame, id_col: str, text_col: str, size: int, block_byte
     return df.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(lean(run), ddl)
 
 
-def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the ``gram`` bytes from each position that has so many."""
-    w, n = words_at(data), len(data) - gram + 1
-    h = w[:n] * _A + w[gram - 8 : gram - 8 + n] * _B if gram >= 8 else (w[:n] & np.uint64((1 << (8 * gram)) - 1)) * _A
+def _hashed(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """A hash of grams by their first and last eight bytes."""
+    h = head * _A + tail * _B
     h ^= h >> np.uint64(32)
     h *= _M
     h ^= h >> np.uint64(29)
     return h
 
 
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes from each position that has so many."""
+    w, n = words_at(data), len(data) - gram + 1
+    if gram >= 8:
+        return _hashed(w[:n], w[gram - 8 : gram - 8 + n])
+    short = w[:n] & np.uint64((1 << (8 * gram)) - 1)
+    return _hashed(short, short)
+
+
 def _spread(least: np.ndarray) -> np.ndarray:
     """Least hashes are small; mixed once more, they fall evenly on the ranges."""
     x = (least ^ (least >> np.uint64(31))) * _B
     return x ^ (x >> np.uint64(30))
 
 
+def _tie_bits(size: int) -> np.uint64:
+    """Low bits of a gram's hash that make room for its place within a window."""
+    return np.uint64((size - min(GRAM, size)).bit_length())
+
+
+def _cut(data: np.ndarray, sizes: np.ndarray, known: list[bool], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, end of windows and place of the least gram of each stretch; a window is named by where it starts.
+
+    The hash's low bits are replaced by the place, so that the least one tells
+    where it is; the rest of the hash is what names are made of.
+    """
+    n = len(data) - size + 1
+    if n < 1:
+        return (np.empty(0, np.int64),) * 3
+    usable = np.zeros(n + 1, np.int8)  # windows inside one document that has an id
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    for a, b, has_id in zip(first[:-1], first[1:], known, strict=True):
+        if has_id and b - a >= size:
+            usable[a] += 1
+            usable[b - size + 1] -= 1
+    usable = np.cumsum(usable[:-1]) > 0
+    gram, bits = min(GRAM, size), _tie_bits(size)
+    per_window, mask = size - gram + 1, (np.uint64(1) << bits) - np.uint64(1)
+    changes, values = [], []
+    for at in range(0, n, AT_ONCE):
+        count = min(AT_ONCE, n - at)
+        h = _gram_hashes(data[at : at + count + size - 1], gram)
+        h >>= bits
+        h <<= bits
+        h |= np.arange(at, at + len(h), dtype=np.uint64) & mask
+        least, reach = h, 1
+        while 2 * reach <= per_window:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        if reach < per_window:
+            least = np.minimum(least[: len(least) - (per_window - reach)], least[per_window - reach :])
+        new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (usable[at + 1 : at + count] != usable[at : at + count - 1]))))
+        changes.append(new + at)
+        values.append((least[new] & mask).astype(np.int64))
+    starts, place = np.concatenate(changes), np.concatenate(values)
+    ends = np.concatenate((starts[1:], [n]))
+    good = usable[starts]
+    starts, ends, place = starts[good], ends[good], place[good]
+    return starts, ends, starts + (place - starts) % (int(mask) + 1)
+
+
+def _cuts_out(starts: np.ndarray, ends: np.ndarray, grams: np.ndarray) -> bytes:
+    """The stretches as small numbers: the gap before each, its windows, and how far behind its start the gram is."""
+    gaps = starts - np.concatenate(([0], ends[:-1]))
+    return len(starts).to_bytes(8, "little") + b"".join(x.astype("<u4").tobytes() for x in (gaps, ends - starts, grams - starts))
+
+
+def _cuts_in(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    gaps, windows, grams = np.frombuffer(data, "<u4", 3 * n, 8).reshape(3, n).astype(np.int64)
+    ends = np.cumsum(gaps + windows)
+    return ends - windows, ends, ends - windows + grams
+
+
 class Block:
     """A block's documents and pieces, and the stretches of windows that share a name."""
 
@@ -149,40 +219,18 @@ class Block:
         self.pieces, self.own, self.sizes = np.frombuffer(row["pieces"], "<i4"), np.frombuffer(row["own"], "<i8"), np.frombuffer(row["sizes"], "<i8")
         self.data, self.size = np.frombuffer(_unpack(row["data"]), np.uint8), size
         self.first = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.starts, self.ends, self.names = self._stretches()
+        self.starts, self.ends, grams = _cuts_in(_unpack(row["cuts"]))
+        self.names = self._names(grams)
         self.document = self.ids[np.searchsorted(self.first, self.starts, "right") - 1]
 
-    def _stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First window, end of windows and name of each stretch; a window is named by where it starts."""
-        n = len(self.data) - self.size + 1
-        if n < 1:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-        usable = np.zeros(n + 1, np.int8)  # windows inside one document that has an id
-        for a, b, known in zip(self.first[:-1], self.first[1:], self.known, strict=True):
-            if known and b - a >= self.size:
-                usable[a] += 1
-                usable[b - self.size + 1] -= 1
-        usable = np.cumsum(usable[:-1]) > 0
-        gram = min(GRAM, self.size)
-        per_window = self.size - gram + 1
-        changes, values = [], []
-        for at in range(0, n, AT_ONCE):
-            count = min(AT_ONCE, n - at)
-            part = self.data[at : at + count + self.size - 1]
-            h = _gram_hashes(part, gram)
-            least, reach = h, 1
-            while 2 * reach <= per_window:
-                least = np.minimum(least[:-reach], least[reach:])
-                reach *= 2
-            if reach < per_window:
-                least = np.minimum(least[: len(least) - (per_window - reach)], least[per_window - reach :])
-            new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (usable[at + 1 : at + count] != usable[at : at + count - 1]))))
-            changes.append(new + at)
-            values.append(least[new])
-        starts, names = np.concatenate(changes), _spread(np.concatenate(values))
-        ends = np.concatenate((starts[1:], [n]))
-        good = usable[starts]
-        return starts[good], ends[good], names[good]
+    def _names(self, grams: np.ndarray) -> np.ndarray:
+        gram, bits = min(GRAM, self.size), _tie_bits(self.size)
+        if gram < 8 or not len(grams):
+            h = _gram_hashes(self.data, gram)[grams]
+        else:
+            words = np.ndarray(len(self.data) - 7, "<u8", self.data.data, strides=(1,))  # the eight bytes from each place
+            h = _hashed(words[grams], words[grams + gram - 8])
+        return _spread(h >> bits << bits)
 
     def ends_differ(self) -> np.ndarray:
         """For each stretch a number that tells apart most stretches of one name: of its length and its first and last bytes."""
@@ -415,7 +463,7 @@ def _share_names(texts: list[bytes], size: int) -> np.ndarray:
     names = h[first].copy()
     for i in range(1, size - gram + 1):
         np.minimum(names, h[first + i], out=names)
-    _, place, count = np.unique(names, return_inverse=True, return_counts=True)
+    _, place, count = np.unique(names >> _tie_bits(size), return_inverse=True, return_counts=True)
     return count[place] > 1
 
 

@@ -126,19 +126,28 @@ def _same(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
 
 
 def sort_names(names: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """The order of the suffixes of a string of names; with ``depth``, by that many names at least."""
-    rank, n, step = names.astype(np.int64), len(names), 1
-    order = np.argsort(rank, kind="stable")
-    tied = n > 1 and bool((np.diff(rank[order]) == 0).any())
-    while tied and step < n and (depth is None or step < depth):
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        tied = int(new[-1]) < n - 1
+    """The order of the suffixes of a string of names; with ``depth``, by that many names at least.
+
+    Sorted by doubling: a rank is the place where a group of equal ones begins,
+    and only members of groups are looked at again.
+    """
+    n, step = len(names), 1
+    order = np.argsort(names, kind="stable")
+    begins = lambda new: np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    differs = lambda x: np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))
+    rank = np.empty(n, np.int64)
+    rank[order] = begins(differs(names[order]))
+    while step < n and (depth is None or step < depth):
+        sorted_rank = rank[order]
+        tied = sorted_rank[1:] == sorted_rank[:-1]
+        at = np.flatnonzero(np.concatenate((tied, [False])) | np.concatenate(([False], tied)))
+        if not len(at):
+            break
+        place = order[at]
+        key = rank[place] * (n + 1) + np.where(place + step < n, rank[np.minimum(place + step, n - 1)] + 1, 0)
+        again = np.argsort(key, kind="stable")
+        place = order[at] = place[again]
+        rank[place] = at[begins(differs(key[again]))]
         step *= 2
     return order
 
