@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geospan.checkpoints import saved
+
 #: Rows that are held as Python strings at once, and bytes of an Arrow batch in steps that an operator runs itself, where the session leaves the default.
 ROWS_AT_ONCE, BATCH = 256, "16m"
 #: Arrow type of each SQL type name used in the operators' schemas.
@@ -144,9 +146,8 @@ def partitions_for(spark: SparkSession) -> int:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the reliable checkpoint folder that the cluster names."""
-    ensure_checkpoint_dir(df.sparkSession)
     with small_batches(df.sparkSession):
-        return df.checkpoint(eager=True)
+        return saved(df)
 
 
 @contextmanager
@@ -161,15 +162,3 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
     finally:
         if not own:
             spark.conf.unset(name)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "/tmp/checkpoints"  # tests on one machine only
-    sc.setCheckpointDir(where)

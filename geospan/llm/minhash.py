@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from geospan.llm.common import arrow_schema, checkpointed, lean, lower_ascii, map_texts, partitions_for, runs_of
 from geospan.llm.components import components
-from geospan.llm.recent import Recent
 
 #: Words in a shingle; minima in a band; bands; least similarity in percent. A pair of similarity 0.85 shares no band with a chance of 2e-7.
 WORDS, ROWS, BANDS, PERCENT = 5, 5, 26, 85
@@ -37,8 +36,8 @@ MARGIN = 0.2
 BLOCK, BLOCK_BYTES, FEATURES = 1024, 4_000_000, 2048
 #: Rows up to which a table of centres is small enough to send to all executors; larger ones are joined by key.
 SMALL = 20_000
-#: Bytes of a task's table of word hashes.
-WORD_BYTES = 16_000_000
+#: Words whose hashes a task keeps, and their longest: some 20 MB.
+KEPT_WORDS, LONGEST_WORD = 100_000, 64
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -52,22 +51,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class _Hashes(dict):
+    """Hashes of words; once there are too many, they are collected anew."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word, 1)
+        if len(word) <= LONGEST_WORD:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = value
+        return value
+
+
 class Shingler:
     """The set of a text as sorted 64-bit hashes of its shingles."""
 
     def __init__(self, words: int = WORDS):
         self.n = words
-        self.hashes = Recent(WORD_BYTES)
+        self.hashes = _Hashes()
 
     def set_of(self, text: str) -> np.ndarray:
         words = lower_ascii(text).encode("utf-8", "surrogatepass").split()
         if not words:
             return np.empty(0, np.uint64)
-        new = self.hashes.missing(words)
-        for word in new:
-            self.hashes[word] = xxhash.xxh3_64_intdigest(word, 1)
         h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        self.hashes.settle(new)
         n = min(self.n, len(h))
         total = h[: len(h) - n + 1].copy()
         for i in range(1, n):

@@ -29,7 +29,9 @@ class Recent(dict):
     def missing(self, keys: Iterable) -> list:
         """The different keys that have no value."""
         out = []
-        for key in set(keys).difference(self.keys()):
+        for key in set(keys):
+            if key in self:
+                continue
             value = self.old.get(key)
             if value is None:
                 out.append(key)
