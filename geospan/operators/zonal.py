@@ -1,12 +1,12 @@
-"""Zonal statistics, weighted overlay, the analytic hierarchy process and change detection."""
+"""Zonal statistics, weighted overlay and change detection."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geospan.functions import geometry as G
+from geospan.operators.priorities import AHP  # noqa: F401
 from geospan.operators.raster import Transform
 
 STATS = ("count", "sum", "mean", "std", "min", "max", "median", "variety")
@@ -66,42 +66,6 @@ def weighted_overlay(layers: dict[str, DataFrame], weights: dict[str, float], no
     return joined.select("row", "col", sum(terms[1:], terms[0]).alias("suitability"))
 
 
-class AHP:
-    """Weights from pairwise comparisons: the principal eigenvector, and the consistency of the judgements."""
-
-    # Random consistency indices for 1 to 10 criteria.
-    RANDOM_INDEX = (0.0, 0.0, 0.58, 0.90, 1.12, 1.24, 1.32, 1.41, 1.45, 1.49)
-
-    def __init__(self, criteria: list[str], strict: bool = False):
-        """strict: take the index of n criteria from place n of the table, counted from 1; else from place n + 1."""
-        self.criteria, self.strict = criteria, strict
-
-    def fit(self, matrix) -> AHP:
-        m = np.asarray(matrix, float)
-        n = len(m)
-        if m.shape != (len(self.criteria),) * 2:
-            raise ValueError("the matrix must be square, one row for each criterion")
-        values, vectors = np.linalg.eig(m)
-        at = int(np.argmax(values.real))
-        weights = np.abs(vectors[:, at].real)
-        self._weights = weights / weights.sum()
-        place = n - 1 if self.strict else n
-        index = self.RANDOM_INDEX[place] if place < len(self.RANDOM_INDEX) else 1.49
-        self._ratio = float((values[at].real - n) / (n - 1) / index) if n > 1 and index > 0 else 0.0
-        return self
-
-    @property
-    def weights(self) -> dict[str, float]:
-        return dict(zip(self.criteria, self._weights.tolist(), strict=True))
-
-    @property
-    def consistency_ratio(self) -> float:
-        return self._ratio
-
-    def is_consistent(self, threshold: float = 0.1) -> bool:
-        return self._ratio < threshold
-
-
 def change_pair(before: DataFrame, after: DataFrame, threshold: float = 0.5, value: str = "value") -> DataFrame:
     """1 where the band means of two epochs differ by more than the threshold."""
     means = [df.groupBy("row", "col").agg(F.avg(value).alias(n)) for df, n in ((before, "a"), (after, "b"))]
