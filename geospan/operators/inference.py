@@ -90,25 +90,28 @@ def onnx_scores(df: DataFrame, model: bytes, vector: str, key: str) -> DataFrame
     return df.select(F.col(key).cast("long").alias(key), vector).mapInPandas(run, ddl)
 
 
-def small_objects_removed(df: DataFrame, least: int = 100, value: str = "mask", most_rounds: int = 10_000) -> DataFrame:
+def small_objects_removed(df: DataFrame, least: int = 100, value: str = "mask", band: int = 512) -> DataFrame:
     """A mask without 4-connected parts of ``least`` pixels or fewer.
 
     Runs of set pixels in a row are the nodes, so that labels travel along rows
-    at once; runs that touch in neighbouring rows are the edges, and the least
-    label is passed on with pointer jumping until nothing changes.
+    at once; runs that touch in neighbouring rows are the edges, found by an
+    equi-join on the row and the bands of ``band`` columns that runs cross, and the
+    least label is passed on with pointer jumping until nothing changes.
     """
     from pyspark.sql import Window
 
-    from geospan.operators.network import _saved
+    from geospan.checkpoints import saved as _saved
 
     line = Window.partitionBy("row").orderBy("col")
     on = df.where(F.col(value) > 0).withColumn("_g", F.col("col") - F.row_number().over(line))
     runs = _saved(on.groupBy("row", "_g").agg(F.min("col").alias("a"), F.max("col").alias("b"), F.count("*").alias("n")).withColumn("id", F.struct("row", "a")))
-    x, y = runs.alias("x"), runs.alias("y")
-    touch = x.join(y, (F.col("y.row") == F.col("x.row") + 1) & (F.col("x.a") <= F.col("y.b")) & (F.col("y.a") <= F.col("x.b"))).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
+    bands = runs.withColumn("band", F.explode(F.sequence(F.floor(F.col("a") / band), F.floor(F.col("b") / band))))
+    x, y = bands.alias("x"), bands.withColumn("row", F.col("row") - 1).alias("y")
+    meet = (F.col("x.a") <= F.col("y.b")) & (F.col("y.a") <= F.col("x.b")) & (F.floor(F.greatest("x.a", "y.a") / band) == F.col("x.band"))  # in the band where both are for the first time
+    touch = x.join(y, (F.col("y.row") == F.col("x.row")) & (F.col("x.band") == F.col("y.band"))).where(meet).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
     edges = _saved(touch.unionByName(touch.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     labels = _saved(runs.select("id", F.col("id").alias("label"), "n"))
-    for _ in range(most_rounds):
+    while True:
         near = edges.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
         low = labels.join(near, labels["id"] == near["u"], "left").select("id", "n", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
         jumped = low.alias("p").join(low.select(F.col("id").alias("q"), F.col("label").alias("further")), F.col("p.label") == F.col("q")).select("p.id", "p.n", "p.old", F.least("p.label", "further").alias("label"))

@@ -3,37 +3,31 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geospan.checkpoints import saved as _saved
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "cost").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not where and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(where or "/tmp/checkpoints")
-    return df.checkpoint()
-
-
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_cost: float | None = None, most_rounds: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_cost: float | None = None) -> DataFrame:
     """``origin, node, cost, previous`` of all nodes that can be reached, from all sources at once.
 
     Each round extends the nodes whose cost fell in the round before by one edge
     and keeps the least cost; of equal ways the one over the smaller previous
-    node stays. Costs must not be negative. Many origins share the rounds.
+    node stays. Costs must not be negative: then a round that lowers no cost comes
+    at last. Many origins share the rounds.
     """
     edges = _saved(edges.groupBy("src", "dst").agg(F.min("cost").cast("double").alias("cost")))
     found = sources.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost"), F.lit(None).cast(sources.schema["node"].dataType).alias("previous")).distinct()
     found = front = _saved(found)
-    for _ in range(most_rounds):
+    while True:
         step = front.select("origin", F.col("node").alias("src"), F.col("cost").alias("so_far")).join(edges, "src").select("origin", F.col("dst").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost"), F.col("src").alias("previous"))
         if max_cost is not None:
             step = step.where(F.col("cost") <= max_cost)
@@ -43,7 +37,6 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_cost: float | None
         found, front = best.drop("fell"), best.where("fell")
         if front.isEmpty():
             return found
-    raise RuntimeError("the network needs more rounds")
 
 
 def service_area(edges: DataFrame, origin: DataFrame, max_cost: float) -> DataFrame:
@@ -58,16 +51,24 @@ def closest_facility(edges: DataFrame, origins: DataFrame, facilities: DataFrame
 
 
 def route(edges: DataFrame, origin, destination) -> tuple[list, float] | None:
-    """The nodes of one shortest way and its cost; None if there is none. The way is short enough for the driver."""
+    """The nodes of one shortest way and its cost; None if there is none. The way is short enough for the driver.
+
+    The way back is found by doubling: after n rounds each node knows the nodes up
+    to 2**n steps before it.
+    """
     spark = edges.sparkSession
-    tree = shortest_paths(edges, spark.createDataFrame([(origin,)], ["node"]).select(F.col("node").cast(edges.schema["src"].dataType)))
-    row = tree.where(F.col("node") == destination).first()
-    if row is None:
+    tree = _saved(shortest_paths(edges, spark.createDataFrame([(origin,)], ["node"]).select(F.col("node").cast(edges.schema["src"].dataType))).select("node", "cost", "previous"))
+    goal = tree.where(F.col("node") == destination).first()
+    if goal is None:
         return None
-    way, cost = [destination], row.cost
-    while way[-1] != origin:
-        way.append(tree.where(F.col("node") == way[-1]).first().previous)
-    return way[::-1], cost
+    kind = tree.schema["node"].dataType.simpleString()
+    back = tree.select("node", F.when(F.col("previous").isNotNull(), F.array("previous")).otherwise(F.array().cast(f"array<{kind}>")).alias("way"), F.col("previous").alias("far"))
+    while True:
+        further = back.select(F.col("node").alias("far"), F.col("way").alias("more"), F.col("far").alias("next"))
+        here = back.where(F.col("node") == destination).first()
+        if here.far is None:
+            return [*here.way[::-1], destination], goal.cost
+        back = _saved(back.join(further, "far", "left").select("node", F.concat("way", F.coalesce("more", F.array().cast(f"array<{kind}>"))).alias("way"), F.col("next").alias("far")))
 
 
 def astar(nodes: dict, adjacency: dict, start, goal, heuristic: Callable | None = None) -> dict:
@@ -93,3 +94,21 @@ def astar(nodes: dict, adjacency: dict, start, goal, heuristic: Callable | None
                 count += 1
                 heapq.heappush(queue, (best[other] + guess(nodes[other], nodes[goal]), count, other))
     return {"path": [], "cost": float("inf"), "nodes_explored": len(closed), "success": False}
+
+
+class AStarPathfinder:
+    """``astar`` on one graph, with a heuristic by name, by function, or the straight line."""
+
+    GUESSES = {
+        "euclidean": lambda a, b: math.hypot(a[0] - b[0], a[1] - b[1]), "manhattan": lambda a, b: abs(a[0] - b[0]) + abs(a[1] - b[1]), "none": lambda a, b: 0.0,
+        "haversine": lambda a, b: 2 * 6371.0 * math.asin(math.sqrt(math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2)),
+    }
+
+    def __init__(self, nodes: dict, adjacency: dict, heuristic: str | Callable | None = None):
+        if isinstance(heuristic, str) and heuristic not in self.GUESSES:
+            raise ValueError(f"Unknown heuristic: {heuristic}")
+        self.nodes, self.adjacency = nodes, adjacency
+        self.heuristic = self.GUESSES[heuristic] if isinstance(heuristic, str) else heuristic
+
+    def find_path(self, start, goal) -> dict:
+        return astar(self.nodes, self.adjacency, start, goal, self.heuristic)

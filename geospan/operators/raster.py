@@ -187,3 +187,112 @@ def resample(df: DataFrame, height: int, width: int, scale: float, method: str =
     corners = target.withColumn("a", F.explode(corner("sr", height))).withColumn("b", F.explode(corner("sc", width)))
     corners = corners.select("row", "col", F.col("a.i").alias("r"), F.col("b.i").alias("c"), (F.col("a.w") * F.col("b.w")).alias("w")).where("w > 0")
     return corners.join(source, ["r", "c"]).groupBy("row", "col").agg(F.sum(F.col("w") * F.col(value)).alias(value))
+
+
+def pad_by(df: DataFrame, height: int, width: int, to_height: int, to_width: int, mode: str = "constant", value: str = "z", constant: float = 0.0) -> DataFrame:
+    """Pixels below and to the right: ``constant``, ``edge``, ``reflect`` (without the edge twice), ``symmetric`` (with it) or ``wrap``.
+
+    A padded pixel is a copy of the one that its position folds back to: an
+    equi-join of positions.
+    """
+    if mode == "constant":
+        return pad(df, height, width, to_height, to_width, value, constant)
+    fold = {
+        "edge": lambda p, n: F.least(p, F.lit(n - 1)), "wrap": lambda p, n: p % n,
+        "symmetric": lambda p, n: F.least(p % (2 * n), 2 * n - 1 - p % (2 * n)), "reflect": lambda p, n: F.least(p % max(1, 2 * n - 2), max(1, 2 * n - 2) - p % max(1, 2 * n - 2)) if n > 1 else F.lit(0),
+    }
+    if mode not in fold:
+        raise ValueError(f"Unknown mode: {mode}")
+    target = grid(df.sparkSession, max(height, to_height), max(width, to_width))
+    target = target.withColumn("r", fold[mode](F.col("row"), height).cast("long")).withColumn("c", fold[mode](F.col("col"), width).cast("long"))
+    return target.join(df.select(F.col("row").alias("r"), F.col("col").alias("c"), value), ["r", "c"]).select("row", "col", value)
+
+
+def resize(df: DataFrame, height: int, width: int, to_height: int, to_width: int, value: str = "z") -> DataFrame:
+    """Bilinear, with pixel centres aligned, edges mirrored, and a Gaussian before a side shrinks (a deviation of half the excess of its factor).
+
+    The weights of a target pixel are the product of a row's and a column's, so
+    each axis is one equi-join and one sum.
+    """
+    import numpy as np
+
+    spark = df.sparkSession
+
+    def weights(n: int, m: int) -> list[tuple[int, int, float]]:
+        factor = n / m
+        deviation = max(0.0, (factor - 1) / 2)
+        reach = int(4 * deviation + 0.5)
+        near = np.exp(-0.5 * (np.arange(-reach, reach + 1) / deviation) ** 2) if reach else np.ones(1)
+        near /= near.sum()
+        out: dict[tuple[int, int], float] = {}
+        for i in range(m):
+            at = (i + 0.5) * factor - 0.5
+            low = int(np.floor(at))
+            for place, share in ((low, 1 - (at - low)), (low + 1, at - low)):
+                place = min(max(place, 0), n - 1)
+                for k, w in zip(range(-reach, reach + 1), near, strict=True):
+                    p = (place + k) % (2 * n)
+                    p = min(p, 2 * n - 1 - p)
+                    out[i, p] = out.get((i, p), 0.0) + share * float(w)
+        return [(i, p, w) for (i, p), w in out.items() if w]
+
+    out = df.select("row", "col", F.col(value).cast("double").alias(value))
+    for axis, n, m, other in (("row", height, to_height, "col"), ("col", width, to_width, "row")):
+        table = spark.createDataFrame(weights(n, m), "to long, at long, w double")  # a few numbers for each target line
+        out = out.join(table, F.col(axis) == F.col("at")).groupBy(F.col("to").alias(axis), other).agg(F.sum(F.col("w") * F.col(value)).alias(value))
+    return out.select("row", "col", value)
+
+
+def to_channels_first(df: DataFrame, shape: tuple[int, ...], data: str = "data") -> DataFrame:
+    """Arrays in rows, columns, channels (of 1, 3 or 4) to channels, rows, columns; an array of two dimensions gets a channel. Other layouts stay."""
+    if len(shape) == 2:
+        return df
+    h, w, c = shape
+    if c not in (1, 3, 4):
+        return df
+    source = F.sequence(F.lit(0), F.lit(h * w * c - 1))
+    return df.withColumn(data, F.transform(source, lambda i: F.get(F.col(data), ((i % (h * w)) * c + F.floor(i / (h * w))).cast("int"))))
+
+
+def to_channels_last(df: DataFrame, shape: tuple[int, int, int], data: str = "data") -> DataFrame:
+    """Arrays in channels, rows, columns to rows, columns, channels."""
+    c, h, w = shape
+    source = F.sequence(F.lit(0), F.lit(h * w * c - 1))
+    return df.withColumn(data, F.transform(source, lambda i: F.get(F.col(data), ((i % c) * (h * w) + F.floor(i / c)).cast("int"))))
+
+
+def legend(spark, colours: dict[int, tuple[int, int, int]], bar_height: int = 20, bar_width: int = 100) -> DataFrame:
+    """``row, col, cls, r, g, b``: a bar of each class's colour, one below the other, in order of the class."""
+    table = spark.createDataFrame([(i, k, *rgb) for i, (k, rgb) in enumerate(sorted(colours.items()))], "bar long, cls int, r int, g int, b int")
+    pixels = grid(spark, bar_height * len(colours), bar_width).withColumn("bar", F.expr(f"row div {bar_height}"))
+    return pixels.join(F.broadcast(table), "bar").select("row", "col", "cls", "r", "g", "b")  # a row for each class
+
+
+def reproject(df: DataFrame, transform: Transform, forward, backward, resolution: float | None = None, value: str = "z", nodata: float = 0.0) -> tuple[DataFrame, Transform]:
+    """The raster on a grid of another coordinate system, bilinear, and that grid's transform.
+
+    ``forward`` and ``backward`` map coordinate columns to the other system and
+    back (``geometry.to_mercator`` and ``from_mercator``). The grid spans the
+    projected edge of the raster; each of its pixels asks for four neighbours of
+    the place that it comes from, by an equi-join of positions. Neighbours that
+    are not there have no weight; a pixel outside gets ``nodata``.
+    """
+    height, width = shape(df)
+    spark = df.sparkSession
+    edge = spark.range(height + 1).select(F.col("id").cast("double").alias("r"), F.explode(F.array(F.lit(0.0), F.lit(float(width)))).alias("c"))
+    edge = edge.unionByName(spark.range(width + 1).select(F.explode(F.array(F.lit(0.0), F.lit(float(height)))).alias("r"), F.col("id").cast("double").alias("c")))
+    x, y = forward(transform.a * F.col("c") + transform.b * F.col("r") + transform.c, transform.d * F.col("c") + transform.e * F.col("r") + transform.f)
+    box = edge.select(x.alias("x"), y.alias("y")).agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2")).first()
+    if resolution is None:  # as many pixels along the diagonal as before
+        resolution = math.hypot(box.x2 - box.x1, box.y2 - box.y1) / math.hypot(height, width)
+    out_h, out_w = max(1, math.ceil((box.y2 - box.y1) / resolution - 1e-9)), max(1, math.ceil((box.x2 - box.x1) / resolution - 1e-9))
+    new = Transform(a=resolution, c=box.x1, e=-resolution, f=box.y2)
+    target = grid(spark, out_h, out_w)
+    x, y = backward(*new.centre(F.col("row"), F.col("col")))
+    x, y, det = x - transform.c, y - transform.f, transform.a * transform.e - transform.b * transform.d
+    target = target.select("row", "col", ((transform.a * y - transform.d * x) / det - 0.5).alias("r"), ((transform.e * x - transform.b * y) / det - 0.5).alias("c"))
+    sides = lambda p: F.array(F.struct(F.floor(p).alias("i"), (1 - (F.col(p) - F.floor(p))).alias("w")), F.struct((F.floor(p) + 1).alias("i"), (F.col(p) - F.floor(p)).alias("w")))
+    asked = target.withColumn("a", F.explode(sides("r"))).withColumn("b", F.explode(sides("c"))).select("row", "col", F.col("a.i").alias("r"), F.col("b.i").alias("c"), (F.col("a.w") * F.col("b.w")).alias("w"))
+    found = asked.where("w > 0").join(df.select(F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"), F.col(value).alias("v")), ["r", "c"])
+    values = found.groupBy("row", "col").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias(value))
+    return grid(spark, out_h, out_w).join(values, ["row", "col"], "left").select("row", "col", F.coalesce(value, F.lit(nodata)).alias(value)), new

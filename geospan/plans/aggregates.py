@@ -192,28 +192,28 @@ def pad(spark, sf_dir):
     return R.pad(pixels, h, w, h + 5, 120)
 
 
-ZOOM = f"d AS (SELECT * FROM {DEM_SQL}), s AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM d), g AS (SELECT r AS row, q AS col, r * ((h - 1) / CAST(h / 2 - 1 AS DOUBLE)) AS sr, q * ((w - 1) / CAST(w / 2 - 1 AS DOUBLE)) AS sc, h, w FROM s, range(0, 100000) a(r), range(0, 50) b(q) WHERE r < floor(h / 2))"
+#: The target grid of half the size, its places in the source, and the raster's size.
+ZOOM = f"""d AS (SELECT * FROM {DEM_SQL}), e AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w, CAST(round_even((max(row) + 1) * 0.5e0, 0) AS BIGINT) AS oh, CAST(round_even((max(col) + 1) * 0.5e0, 0) AS BIGINT) AS ow FROM d),
+ g AS (SELECT r AS row, q AS col, r * CAST(h - 1 AS DOUBLE) / CAST(greatest(oh - 1, 1) AS DOUBLE) AS sr, q * CAST(w - 1 AS DOUBLE) / CAST(greatest(ow - 1, 1) AS DOUBLE) AS sc, h, w FROM e, range(0, 100000) a(r), range(0, 50) b(q) WHERE r < oh AND q < ow)"""
 
 
-def _even(spark, sf_dir):
+def _sized(spark, sf_dir):
     pixels = dem(spark, sf_dir)
-    h, w = R.shape(pixels)
-    return pixels.where(c("row") < h - h % 2), h - h % 2, w
+    return pixels, *R.shape(pixels)
 
 
-@query("resample_nearest", None)
+@query("resample_nearest", f"WITH {ZOOM} SELECT g.row, g.col, d.z FROM g JOIN d ON d.row = CAST(floor(sr + 0.5e0) AS BIGINT) AND d.col = CAST(floor(sc + 0.5e0) AS BIGINT)")
 def resample_nearest(spark, sf_dir):
-    pixels, h, w = _even(spark, sf_dir)
+    pixels, h, w = _sized(spark, sf_dir)
     return R.resample(pixels, h, w, 0.5, "nearest")
 
 
 @query(
     "resample_bilinear",
-    f"""WITH d0 AS (SELECT * FROM {DEM_SQL}), e AS (SELECT (max(row) + 1) // 2 * 2 AS h, max(col) + 1 AS w FROM d0), d AS (SELECT d0.* FROM d0, e WHERE row < h),
- g AS (SELECT r AS row, q AS col, r * CAST(h - 1 AS DOUBLE) / (h // 2 - 1) AS sr, q * CAST(w - 1 AS DOUBLE) / (w // 2 - 1) AS sc, h, w FROM e, range(0, 100000) a(r), range(0, 50) b(q) WHERE r < h // 2),
+    f"""WITH {ZOOM},
  k AS (SELECT row, col, CAST(least(floor(sr) + i, h - 1) AS BIGINT) AS a, CAST(least(floor(sc) + j, w - 1) AS BIGINT) AS b, (CASE WHEN i = 0 THEN 1 - (sr - floor(sr)) ELSE sr - floor(sr) END) * (CASE WHEN j = 0 THEN 1 - (sc - floor(sc)) ELSE sc - floor(sc) END) AS wt FROM g, range(0, 2) x(i), range(0, 2) y(j))
 SELECT k.row, k.col, {r6("sum(wt * z)", "1e3")} AS z FROM k JOIN d ON d.row = a AND d.col = b GROUP BY 1, 2""",
 )
 def resample_bilinear(spark, sf_dir):
-    pixels, h, w = _even(spark, sf_dir)
+    pixels, h, w = _sized(spark, sf_dir)
     return R.resample(pixels, h, w, 0.5).withColumn("z", N.rounded(c("z"), 3))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from geospan.functions import geometry as G
 from geospan.functions import numeric as N
+from geospan.operators import overlay as O
 from geospan.operators import vector as V
 from geospan.plans.bindings import BOXES_SQL, SAMPLES_SQL, boxes, samples
 from geospan.plans.registry import query, r6, table
@@ -24,25 +25,7 @@ def bbox_filter(spark, sf_dir):
     return V.filter_features(_features(spark, sf_dir), "conf > 0.5", (200.0, 300.0, 500.0, 700.0)).select("id", "image")
 
 
-@query(
-    "bbox_join",
-    f"""SELECT a.id AS a, b.id AS b, least(a.x2, b.x2) - greatest(a.x1, b.x1) AS w, least(a.y2, b.y2) - greatest(a.y1, b.y1) AS h
-FROM {BOXES_SQL} a JOIN {BOXES_SQL} b ON a.x1 <= b.x2 AND a.x2 >= b.x1 AND a.y1 <= b.y2 AND a.y2 >= b.y1 WHERE a.image = 3 AND b.image = 4""",
-)
-def bbox_join(spark, sf_dir):
-    """Pairs of boxes that meet, and the sides of their common part."""
-    f = _features(spark, sf_dir)
-    pairs = V.box_join(f.where("image = 3"), f.where("image = 4"), 64.0)
-    return pairs.select(c("id").alias("a"), c("r_id").alias("b"), (c("ixmax") - c("ixmin")).alias("w"), (c("iymax") - c("iymin")).alias("h"))
-
-
-@query(
-    "bbox_anti",
-    f"SELECT a.id FROM {BOXES_SQL} a WHERE image = 3 AND NOT EXISTS (SELECT 1 FROM {BOXES_SQL} b WHERE b.image = 4 AND a.x1 <= b.x2 AND a.x2 >= b.x1 AND a.y1 <= b.y2 AND a.y2 >= b.y1)",
-)
-def bbox_anti(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    return V.box_join(f.where("image = 3"), f.where("image = 4"), 64.0, "anti").select("id")
+MEET_SQL = f"FROM {BOXES_SQL} a JOIN {BOXES_SQL} b ON (a.image + 1) % 50 = b.image AND a.x1 <= b.x2 AND a.x2 >= b.x1 AND a.y1 <= b.y2 AND a.y2 >= b.y1"
 
 
 def _next_images(f):
@@ -50,21 +33,65 @@ def _next_images(f):
     return f.withColumn("image", F.pmod(c("image") - 1, F.lit(50)))
 
 
-@query("bbox_join_images")
-def bbox_join_images(spark, sf_dir):
-    """As ``bbox_join`` over all events: the boxes of each of the 50 images with those of the next."""
+@query("bbox_join", f"SELECT a.image, a.id AS a, b.id AS b, least(a.x2, b.x2) - greatest(a.x1, b.x1) AS w, least(a.y2, b.y2) - greatest(a.y1, b.y1) AS h {MEET_SQL}")
+def bbox_join(spark, sf_dir):
+    """Pairs of boxes that meet, of each of the 50 images with those of the next, and the sides of their common part."""
     f = _features(spark, sf_dir)
     pairs = V.box_join(f, _next_images(f), 64.0, on=["image"])
     return pairs.select("image", c("id").alias("a"), c("r_id").alias("b"), (c("ixmax") - c("ixmin")).alias("w"), (c("iymax") - c("iymin")).alias("h"))
 
 
-@query("bbox_anti_images")
-def bbox_anti_images(spark, sf_dir):
-    """As ``bbox_anti`` over all events: the boxes of each image that meet none of the next."""
+@query("bbox_anti", f"SELECT image, id FROM {BOXES_SQL} EXCEPT ALL SELECT DISTINCT a.image, a.id {MEET_SQL}")
+def bbox_anti(spark, sf_dir):
+    """The boxes of each image that meet none of the next."""
     f = _features(spark, sf_dir)
     return V.box_join(f, _next_images(f), 64.0, "anti", on=["image"]).select("image", "id")
 
 
+def _polygons(spark, sf_dir):
+    return _features(spark, sf_dir).withColumn("shape", O.of_box(*(c(n) for n in V.ENVELOPE)))
+
+
+@query("clip_area", f"SELECT a.image, a.id AS a, b.id AS b, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS area {MEET_SQL} AND a.x1 < b.x2 AND a.x2 > b.x1 AND a.y1 < b.y2 AND a.y2 > b.y1")
+def clip_area(spark, sf_dir):
+    """The common parts of the boxes of each image and the next, as polygons."""
+    f = _polygons(spark, sf_dir)
+    return O.intersection(f, _next_images(f), 64.0, on=["image"]).select("image", c("id").alias("a"), c("r_id").alias("b"), N.rounded(O.area(c("shape"))).alias("area"))
+
+
+@query("union_area")
+def union_area(spark, sf_dir):
+    """The area that each user's boxes cover together."""
+    f = table(spark, sf_dir, "events").select(c("event_id").alias("id"), "user_id").join(_polygons(spark, sf_dir), "id")
+    return O.dissolve(f, ["user_id"], {"id": "count"}, "id", cell=256.0).select("user_id", c("id").alias("n"), N.rounded(O.area(c("shape"))).alias("area"))
+
+
+@query("difference_area")
+def difference_area(spark, sf_dir):
+    """What is left of each box without the boxes of the next image that have the same event type."""
+    f = table(spark, sf_dir, "events").select(c("event_id").alias("id"), "event_type").join(_polygons(spark, sf_dir), "id")
+    return O.difference(f, _next_images(f), 64.0, on=["image", "event_type"]).select("image", "id", N.rounded(O.area(c("shape"))).alias("area"))
+
+
+@query("box_buffer", f"SELECT id, {r6('(x2 - x1) * (y2 - y1) + 6 * ((x2 - x1) + (y2 - y1)) + 9 * 32 * sin(' + repr(2 * math.pi / 64) + ')', '1e3')} AS area FROM {BOXES_SQL}")
+def box_buffer(spark, sf_dir):
+    """Boxes with all that is within 3 of them."""
+    return _polygons(spark, sf_dir).select("id", N.rounded(O.area(O.buffer(c("shape"), 3.0)), 3).alias("area"))
+
+
+@query("polygon_wkt", f"SELECT id, 'POLYGON ((' || CAST(x1 AS BIGINT) || ' ' || CAST(y1 AS BIGINT) || ', ' || CAST(x2 AS BIGINT) || ' ' || CAST(y1 AS BIGINT) || ', ' || CAST(x2 AS BIGINT) || ' ' || CAST(y2 AS BIGINT) || ', ' || CAST(x1 AS BIGINT) || ' ' || CAST(y2 AS BIGINT) || ', ' || CAST(x1 AS BIGINT) || ' ' || CAST(y1 AS BIGINT) || '))' AS wkt, (x2 - x1) * (y2 - y1) AS area, 2 * (x2 - x1 + y2 - y1) AS length FROM {BOXES_SQL}")
+def polygon_wkt(spark, sf_dir):
+    """Polygons to text, to bytes and back, and their measures."""
+    shapes = _polygons(spark, sf_dir).select("id", O.from_wkb(O.to_wkb(O.from_wkt(O.to_wkt(c("shape"))))).alias("s"))
+    return shapes.select("id", O.to_wkt(c("s")).alias("wkt"), O.area(c("s")).alias("area"), O.length(c("s")).alias("length"))
+
+
+@query("shape_filter", f"SELECT id FROM {BOXES_SQL} WHERE x1 <= 300 AND x2 >= 300 AND y1 <= 600 AND y2 >= 200 OR y1 <= 400 AND y2 >= 400 AND x1 <= 500 AND x2 >= 100")
+def shape_filter(spark, sf_dir):
+    """Boxes that meet one of two lines."""
+    return O.filter_shapes(_polygons(spark, sf_dir), geometry="MULTILINESTRING ((300 200, 300 600), (100 400, 500 400))").select("id")
+
+
 @query("bounds", f"SELECT min(x1) AS xmin, min(y1) AS ymin, max(x2) AS xmax, max(y2) AS ymax FROM {BOXES_SQL}")
 def bounds(spark, sf_dir):
     return V.bounds(_features(spark, sf_dir))
@@ -86,6 +113,7 @@ def box_iou(spark, sf_dir):
 
 @query("nms")
 def nms(spark, sf_dir):
+    """Checked by a plain loop over each image in the tests."""
     return V.suppress(boxes(spark, sf_dir)).select("id", "image", "conf")
 
 
@@ -156,7 +184,7 @@ WHERE x1 <= 800 AND x2 >= 100 AND y1 <= 900 AND y2 >= 50 AND ts BETWEEN TIMESTAM
 def stac_search(spark, sf_dir):
     """Items by box, time and collection; properties are JSON."""
     events = table(spark, sf_dir, "events")
-    wanted = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
+    wanted = events.select(c("event_type").alias("collection")).distinct().orderBy("collection").limit(2)
     items = events.select(c("event_id").alias("id"), c("event_type").alias("collection"), "ts", "props").join(_features(spark, sf_dir).select("id", *V.ENVELOPE), "id")
     found = V.search(items, (100.0, 50.0, 800.0, 900.0), ("2024-01-05", "2024-01-20"), wanted)
     return found.select("id", "collection", F.get_json_object("props", "$.k").cast("long").alias("k"))

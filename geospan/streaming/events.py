@@ -33,3 +33,21 @@ def first_of(df: DataFrame, key: list[str], late: str = "1 hour", column: str =
     """Repeats of a key within the watermark are dropped."""
     timed = with_time(df, column).withWatermark(column, late)
     return timed.dropDuplicatesWithinWatermark(key) if timed.isStreaming else timed.dropDuplicates(key)
+
+
+def running(df: DataFrame, key: str, value: str = "value", kind: str = "string") -> DataFrame:
+    """``key, n, total`` of all events of a key so far, whenever some come: a state of two numbers for each key. Batch tables give the last row of each."""
+    if not df.isStreaming:
+        return df.groupBy(key).agg(F.count("*").alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).cast("double").alias("total"))
+
+    def add(keys, frames, state):
+        import pandas as pd
+
+        n, total = state.get if state.exists else (0, 0.0)
+        for frame in frames:
+            n, total = n + len(frame), total + float(frame[value].sum())
+        state.update((n, total))
+        yield pd.DataFrame({key: [keys[0]], "n": [n], "total": [total]})
+
+    ddl = f"{key} {kind}, n long, total double"
+    return df.select(key, value).groupBy(key).applyInPandasWithState(add, ddl, "n long, total double", "update", "NoTimeout")

@@ -195,9 +195,9 @@ def test_box_joins_over_all_images(spark):
             if (a.image + 1) % 50 == b.image and a.x1 <= b.x2 and a.x2 >= b.x1 and a.y1 <= b.y2 and a.y2 >= b.y1:
                 wanted[a.image, a.id, b.id] = (min(a.x2, b.x2) - max(a.x1, b.x1), min(a.y2, b.y2) - max(a.y1, b.y1))
                 alone.discard((a.image, a.id))
-    found = QUERIES["bbox_join_images"](spark, folder).collect()
+    found = QUERIES["bbox_join"](spark, folder).collect()
     assert len(images) > 2 and len(found) == len(wanted) and {(r.image, r.a, r.b): (r.w, r.h) for r in found} == wanted
-    assert sorted((r.image, r.id) for r in QUERIES["bbox_anti_images"](spark, folder).collect()) == sorted(alone)
+    assert sorted((r.image, r.id) for r in QUERIES["bbox_anti"](spark, folder).collect()) == sorted(alone)
 
 
 def test_networks_over_all_arcs(spark):
@@ -222,7 +222,7 @@ def test_networks_over_all_arcs(spark):
                     heapq.heappush(queue, (so_far + more, b))
     run = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, folder).collect())
     assert any((a * 7 + b * 13) % 11 >= 2 for a, b in arcs)
-    assert run("network_arcs_all") == sorted([(a, b, w) for (a, b), w in arcs.items()] + [(b, a, w) for (a, b), w in arcs.items()])
-    assert run("sssp_all_arcs") == sorted(cost.items())
-    assert run("service_area_all_arcs") == sorted((n, w) for n, w in cost.items() if w <= 7)
-    assert run("closest_facility_all_arcs") == [min(((n, cost[n]) for n in (5, 9, 17, 21) if n in cost), key=lambda x: (x[1], x[0]))]
+    assert run("network_arcs") == sorted([(a, b, w) for (a, b), w in arcs.items()] + [(b, a, w) for (a, b), w in arcs.items()])
+    assert run("sssp") == sorted(cost.items())
+    assert run("service_area") == sorted((n, w) for n, w in cost.items() if w <= 7)
+    assert run("closest_facility") == [min(((n, cost[n]) for n in (5, 9, 17, 21) if n in cost), key=lambda x: (x[1], x[0]))]
