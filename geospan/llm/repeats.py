@@ -100,23 +100,23 @@ def pack_blocks(df: DataFrame, id_col: str, text_col: str, size: int, block_byte
             now["bytes"] = 0
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        def parts(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+        def parts(text: memoryview) -> Iterator[tuple[int, int, bytes]]:
             """Piece number, own bytes, and bytes; the last piece has all that is left."""
             if len(text) <= block_bytes:
-                yield -1, len(text), text
+                yield -1, len(text), bytes(text)
                 return
             cut = max(block_bytes, size)
             starts = range(0, len(text) - size + 1, cut)
             for number, a in enumerate(starts):
                 last = a + cut > len(text) - size
                 b = len(text) if last else a + cut
-                yield number, b - a, text[a : b if last else b + size - 1]
+                yield number, b - a, bytes(text[a : b if last else b + size - 1])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    for piece, own, data in parts(text):
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()), strict=True):
+                    for piece, own, data in parts(memoryview(text.as_buffer())):
                         if held and now["bytes"] + len(data) > block_bytes:
                             yield block()
                         held.append((i, now["row"], piece, own, data))
