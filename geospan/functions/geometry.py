@@ -105,6 +105,56 @@ def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / _R), F.degrees(2 * F.atan(F.exp(y / _R)) - math.pi / 2)
 
 
+# The ellipsoid of WGS 84, and the scale and shifts of the transverse zones.
+_A, _FLAT, _SCALE, _EAST, _SOUTH = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10000000.0
+_N = _FLAT / (2 - _FLAT)
+_MEAN = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_FORWARD = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_BACK = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
+
+def to_zone(lon: Column, lat: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """EPSG:4326 to EPSG:326xx (north) or 327xx: transverse Mercator by its series, to a millimetre within a zone."""
+    phi, lam = F.radians(lat), F.radians(lon) - math.radians(zone * 6 - 183)
+    e = 2 * math.sqrt(_N) / (1 + _N)
+    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for j, a in enumerate(_FORWARD, 1):
+        x, y = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta), y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return _EAST + _SCALE * _MEAN * x, (_SOUTH if south else 0.0) + _SCALE * _MEAN * y
+
+
+def from_zone(x: Column, y: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    xi, eta = (y - (_SOUTH if south else 0.0)) / (_SCALE * _MEAN), (x - _EAST) / (_SCALE * _MEAN)
+    u, v = xi, eta
+    for j, b in enumerate(_BACK, 1):
+        u, v = u - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta), v - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(u) / F.cosh(v))
+    phi = chi
+    for j, d in enumerate(_LATITUDE, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return F.degrees(F.atan2(F.sinh(v), F.cos(u))) + (zone * 6 - 183.0), F.degrees(phi)
+
+
+def projection(code: int):
+    """``(forward, backward)`` between EPSG:4326 and another system: 4326, 3857, 326xx and 327xx."""
+    if code == 4326:
+        return (lambda x, y: (x, y)), (lambda x, y: (x, y))
+    if code == 3857:
+        return to_mercator, from_mercator
+    zone, south = code % 100, code // 100 == 327
+    if code // 100 not in (326, 327) or not 1 <= zone <= 60:
+        raise ValueError(f"EPSG:{code} is not known here")
+    return (lambda x, y: to_zone(x, y, zone, south)), (lambda x, y: from_zone(x, y, zone, south))
+
+
+def reproject(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
+    """Coordinates of one system in another, by way of EPSG:4326."""
+    return projection(target)[0](*projection(source)[1](x, y))
+
+
 def point_wkt(x: Column, y: Column) -> Column:
     return F.concat(F.lit("POINT ("), x.cast("string"), F.lit(" "), y.cast("string"), F.lit(")"))
 

@@ -28,6 +28,14 @@ def zonal_statistics(df: DataFrame, zone: str = "zone", value: str = "value", pe
     return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(F.col(zone).alias("zone_id")).agg(*out)
 
 
+def zonal_rollup(df: DataFrame, levels: list[str], value: str = "value", stats: tuple[str, ...] = ("count", "sum", "mean", "min", "max")) -> DataFrame:
+    """The same statistics for each zone of nested levels, for each coarser level, and for all: missing levels are null, ``depth`` tells how many are there."""
+    v = F.col(value)
+    known = {"count": F.count(v), "sum": F.sum(v), "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v)}
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).rollup(*levels).agg(*(known[s].alias(s) for s in stats), F.grouping_id().alias("_g"))
+    return rows.withColumn("depth", F.lit(len(levels)) - F.bit_count("_g")).drop("_g")
+
+
 def zonal_join(values: DataFrame, zones: DataFrame, **options) -> DataFrame:
     """Raster by raster: pixels are matched by position."""
     return zonal_statistics(values.join(zones.select("row", "col", "zone"), ["row", "col"]), **options)

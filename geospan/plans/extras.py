@@ -9,10 +9,12 @@ from geospan.functions import geometry as G
 from geospan.functions import numeric as N
 from geospan.operators import arrays as A
 from geospan.operators import inference as I
+from geospan.operators import joins as J
 from geospan.operators import nets, synthesis
 from geospan.operators import priorities as P
 from geospan.operators import raster as R
-from geospan.plans.bindings import DEM_SQL, dem
+from geospan.operators import zonal as Z
+from geospan.plans.bindings import BOXES_SQL, DEM_SQL, boxes, dem
 from geospan.plans.registry import query, r6, table
 from geospan.streaming import events as E
 
@@ -162,3 +164,31 @@ def net_scores(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").where("size(embedding) = 64").select(c("vec_id").alias("id"), c("embedding").alias("data"))
     out = nets.applied(rows, layer, nets.fresh(layer, 1), (1, 8, 8))
     return out.select("id", F.size("output").alias("n"), F.array_max("output").alias("most"))
+
+
+@query("asof_join", "SELECT l.event_id, r.ts AS last_ts FROM events l ASOF LEFT JOIN (SELECT user_id, ts FROM events WHERE event_type = (SELECT min(event_type) FROM events)) r ON l.user_id = r.user_id AND l.ts >= r.ts")
+def asof_join(spark, sf_dir):
+    """When each event's user last had an event of the first type."""
+    events = table(spark, sf_dir, "events").withColumn("second", c("ts").cast("timestamp").cast("double"))
+    first = events.select("event_type").distinct().orderBy("event_type").limit(1)
+    found = J.asof_join(events.select("event_id", "user_id", "second"), events.join(first, "event_type", "left_semi").select("user_id", "second", "ts"), "second", ["user_id"], 86400.0)
+    return found.select("event_id", c("r_ts").alias("last_ts"))
+
+
+@query("interval_join", f"SELECT b.id, count(*) AS n FROM {BOXES_SQL} a JOIN {BOXES_SQL} b ON a.image = (b.image + 1) % 50 AND a.x1 BETWEEN b.x1 AND b.x2 GROUP BY b.id")
+def interval_join(spark, sf_dir):
+    """How many boxes of the next image begin within a box's columns."""
+    f = boxes(spark, sf_dir)
+    pairs = J.interval_join(f.withColumn("image", F.pmod(c("image") - 1, F.lit(50))), f, "x1", "x1", "x2", 64.0, ["image"])
+    return pairs.groupBy(c("r_id").alias("id")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "zonal_levels",
+    f"SELECT CASE WHEN g < 2 THEN a END AS block, CASE WHEN g = 0 THEN b END AS band, count(*) AS count, {r6('avg(z)', '1e3')} AS mean, max(z) AS max, CAST(2 - g AS INT) AS depth FROM (SELECT row // 10 AS a, row AS b, z FROM {DEM_SQL}), range(0, 3) r(g) GROUP BY 1, 2, g",
+)
+def zonal_levels(spark, sf_dir):
+    """Statistics of rows, of blocks of ten rows, and of all."""
+    pixels = dem(spark, sf_dir).select(F.expr("row div 10").alias("block"), c("row").alias("band"), c("z").alias("value"))
+    found = Z.zonal_rollup(pixels, ["block", "band"], stats=("count", "mean", "max"))
+    return found.select("block", "band", "count", N.rounded(c("mean"), 3).alias("mean"), "max", c("depth").cast("int").alias("depth"))

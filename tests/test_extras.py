@@ -14,7 +14,7 @@ from geospan import serving, workflow, zoo
 from geospan.__main__ import main
 from geospan.functions import geometry as G
 from geospan.operators import geostat as K
-from geospan.operators import inference, nets, synthesis
+from geospan.operators import inference, joins, nets, synthesis
 from geospan.operators import network as net
 from geospan.operators import priorities as P
 from geospan.operators import raster as R
@@ -409,3 +409,38 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["pipeline", "run", "change_detection", f"input1={tmp_path / 'a'}", f"input2={tmp_path / 'b'}"]) == 0
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["status"] == "COMPLETED"
     assert main(["run", "nothing", "x"]) == 1
+
+
+def test_projections(spark):
+    """Known places, there and back, and systems that are not known."""
+    rows = [(9.0, 0.0), (2.2944813, 48.8583701), (-3.0, 80.0), (10.5, -33.0)]
+    df = spark.createDataFrame(rows, "lon double, lat double")
+    step = 1e-4
+    near = [(11.5, 48.0), (11.5 + step, 48.0), (11.5, 48.0 + step), (9.0, 0.0), (9.0, 45.0)]
+    p = [(r.x, r.y) for r in spark.createDataFrame(near, "lon double, lat double").select(*(c.alias(n) for c, n in zip(G.to_zone(F.col("lon"), F.col("lat"), 32), "xy", strict=True))).collect()]
+    assert p[3] == (pytest.approx(500000), pytest.approx(0, abs=1e-6)) and p[4] == (pytest.approx(500000), pytest.approx(0.9996 * 4984944.378, abs=0.01))  # a quarter of the way along the meridian
+    # The same scale east and north, and a right angle between them.
+    e2, phi = 0.00669437999014, math.radians(48.0)
+    across, along = 6378137 * math.cos(phi) / math.sqrt(1 - e2 * math.sin(phi) ** 2), 6378137 * (1 - e2) / (1 - e2 * math.sin(phi) ** 2) ** 1.5
+    east, north = ((q[0] - p[0][0], q[1] - p[0][1]) for q in p[1:3])
+    assert math.hypot(*east) / across == pytest.approx(math.hypot(*north) / along, rel=2e-6) and abs(east[0] * north[0] + east[1] * north[1]) < 1e-3
+    for code in (4326, 3857, 32632, 32732):
+        there = df.select("lon", "lat", *(c.alias(n) for c, n in zip(G.reproject(F.col("lon"), F.col("lat"), 4326, code), "xy", strict=True)))
+        back = there.select("lon", "lat", *(c.alias(n) for c, n in zip(G.reproject(F.col("x"), F.col("y"), code, 4326), "ab", strict=True)))
+        assert all(r.a == pytest.approx(r.lon, abs=1e-7) and r.b == pytest.approx(r.lat, abs=1e-7) for r in back.where("abs(lon - 9) < 13").collect())
+    with pytest.raises(ValueError):
+        G.projection(27700)
+
+
+def test_joins_by_order(spark):
+    rng = np.random.default_rng(8)
+    left = [(i, int(k) if k < 3 else None, float(t) if t < 95 else None) for i, (k, t) in enumerate(zip(rng.integers(0, 4, 200), rng.integers(0, 100, 200), strict=True))]
+    right = [(int(k), float(t), int(n)) for k, t, n in zip(rng.integers(0, 3, 60), rng.integers(0, 100, 60), range(60), strict=True)]
+    l, r = spark.createDataFrame(left, "id int, k int, t double"), spark.createDataFrame(right, "k int, t double, n int")  # noqa: E741
+    for width in (1.0, 7.0, 1000.0):
+        found = {x.id: x.r_n for x in joins.asof_join(l, r, "t", ["k"], width).collect()}
+        assert found == {i: max(((b, a, n) for a, b, n in right if a == k and b <= t), default=(0, 0, None))[2] if k is not None and t is not None else None for i, k, t in left}
+        spans = spark.createDataFrame([(n, t, t + n % 9) for _, t, n in right] + [(99, 5.0, 4.0)], "n int, a double, b double")
+        pairs = sorted((x.id, x.r_n) for x in joins.interval_join(l, spans, "t", "a", "b", width).collect())
+        assert pairs == sorted((i, n) for i, _, t in left if t is not None for _, a, n in right if a <= t <= a + n % 9)
+    assert joins.asof_join(l.limit(0), r, "t", ["k"], 1.0).count() == 0 and joins.asof_join(l, r.limit(0), "t", ["k"], 1.0).where("r_n IS NOT NULL").count() == 0
