@@ -482,7 +482,7 @@ def smallest_documents(texts: list[bytes], least: np.ndarray, size: int) -> tupl
     np.add.at(window, first[1:] - size + 1, -1)
     here = np.where(np.cumsum(window[:-1]) > 0, here, _NEVER)
     words = words_at(text)
-    array = suffix_array(text, size, words)
+    array = suffix_array(text, words)
     same = common_with_previous(words, array, size)
     groups = np.flatnonzero(~same)
     by_rank = here[array]

@@ -3,8 +3,10 @@
 The classical linear scheme, bucket by bucket so that each step is an array
 operation: suffixes are classified as larger or smaller than their successor;
 the leftmost smaller ones are sorted by inducing from their unsorted order,
-named, and sorted among each other as a string of names; from their order the
-whole array is induced.
+named, and sorted among each other as a string of names by the same scheme, which
+goes on until all names differ; from their order the whole array is induced. With
+few bytes the induction goes bucket by bucket; with many names, of which most
+come a few times, it goes by runs of larger or smaller suffixes at once.
 """
 
 from __future__ import annotations
@@ -125,35 +127,84 @@ def _same(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
     return out
 
 
-def sort_names(names: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """The order of the suffixes of a string of names; with ``depth``, by that many names at least.
+def _ranked(symbols: np.ndarray, which: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions ``which`` in the order of their strings, and ranks that only equal strings share.
 
-    Sorted by doubling: a rank is the place where a group of equal ones begins,
-    and only members of groups are looked at again.
+    A position's string is the symbols from it to ``last``. Ranks by one symbol are
+    joined to ranks by two, four and so on; only members of ties are looked at again.
     """
-    n, step = len(names), 1
-    order = np.argsort(names, kind="stable")
+    n, step = len(symbols), 1
     begins = lambda new: np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     differs = lambda x: np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))
-    rank = np.empty(n, np.int64)
-    rank[order] = begins(differs(names[order]))
-    while step < n and (depth is None or step < depth):
+    order = which[np.argsort(symbols[which])]
+    rank = np.full(n, -1)
+    rank[order] = begins(differs(symbols[order]))
+    while True:
         sorted_rank = rank[order]
         tied = sorted_rank[1:] == sorted_rank[:-1]
         at = np.flatnonzero(np.concatenate((tied, [False])) | np.concatenate(([False], tied)))
-        if not len(at):
-            break
         place = order[at]
-        key = rank[place] * (n + 1) + np.where(place + step < n, rank[np.minimum(place + step, n - 1)] + 1, 0)
-        again = np.argsort(key, kind="stable")
+        goes_on = place + step <= last[place]
+        if not goes_on.any():
+            return order, rank
+        key = rank[place] * (n + 1) + np.where(goes_on, rank[np.minimum(place + step, n - 1)] + 1, 0)
+        again = np.argsort(key)
         place = order[at] = place[again]
         rank[place] = at[begins(differs(key[again]))]
         step *= 2
+
+
+def _induced(names: np.ndarray, smaller: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The order of all suffixes of a string of names that an order of the leftmost smaller ones induces.
+
+    A larger suffix is its names down to the next leftmost smaller suffix, whose
+    place is known, or to the end; a smaller one is its names up to the next larger
+    suffix. Of suffixes that begin with the same name the larger ones come first.
+    """
+    n, every = len(names), np.arange(len(names))
+    is_start = np.zeros(n + 1, bool)
+    is_start[starts] = is_start[n] = True
+    # Larger ones: a symbol for each name, then one for each leftmost smaller suffix behind those of its name; the end before all.
+    first = names[starts]
+    symbols = np.empty(n + 1, np.int64)
+    symbols[:n] = (names + 1) * (n + 2)
+    symbols[starts] = (first + 1) * (n + 2) + 1 + np.arange(len(starts))
+    symbols[n] = 0
+    stops = np.flatnonzero(is_start)
+    last = np.empty(n + 1, np.int64)
+    last[:n] = stops[np.searchsorted(stops, every)]
+    last[n] = n
+    order, _ = _ranked(symbols, np.flatnonzero(np.concatenate((~smaller, [True])) | is_start), last)
+    larger = order[(order < n) & ~is_start[order]]
+    # Smaller ones: the larger suffixes are told apart by their places, and come first.
+    symbols = (names + 1) * (2 * n + 2) + n + 1
+    symbols[larger] = (names[larger] + 1) * (2 * n + 2) + np.arange(len(larger))
+    stops = np.flatnonzero(~smaller)
+    order, _ = _ranked(symbols, every, stops[np.searchsorted(stops, every)])
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int | None = None, words: np.ndarray | None = None) -> np.ndarray:
-    """The suffix array of bytes; with ``depth``, sorted by at least that many bytes of each suffix."""
+def sort_names(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string of names, by the same scheme on numbers: classified, leftmost smaller substrings
+    sorted and named, their string of names sorted by this very function, and the rest induced from it."""
+    n = len(names)
+    order = np.argsort(names)
+    if n < 2 or (names[order[1:]] != names[order[:-1]]).all():
+        return order
+    smaller = classify(names)
+    starts = leftmost_smaller(smaller)
+    if len(starts) > 1:
+        # Substrings reach to the next start, which counts with its name only; the last one to the end, which no other has.
+        last = np.append(starts[1:], n)[np.maximum(np.searchsorted(starts, np.arange(n), "right") - 1, 0)]
+        last[starts] = np.append(starts[1:], n)
+        symbols = np.append(names.astype(np.int64) * 2 + smaller, -1)
+        _, rank = _ranked(symbols, np.arange(starts[0], n + 1), np.append(last, n))
+        starts = starts[sort_names(np.unique(rank[starts], return_inverse=True)[1].reshape(-1))]
+    return _induced(names.astype(np.int64), smaller, starts)
+
+
+def suffix_array(text: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """The suffix array of bytes."""
     text = np.ascontiguousarray(text, np.uint8)
     n = len(text)
     if n < 2:
@@ -179,8 +230,7 @@ def suffix_array(text: np.ndarray, depth: int | None = None, words: np.ndarray |
         equal[at] = _same(words, rough[at - 1].astype(np.int64), rough[at].astype(np.int64), own[at])
         names = np.empty(len(starts), np.int64)
         names[number[rough]] = np.cumsum(~equal) - 1
-        # Each name stands for two bytes of its own at least.
-        starts = starts[sort_names(names, None if depth is None else depth // 2 + 2)]
+        starts = starts[sort_names(names)]
     return induce(text, starts)[0]
 
 

@@ -667,6 +667,15 @@ def test_suffix_array():
         assert suffixes.suffix_array(text).tolist() == order
 
 
+def test_names_are_sorted_recursively():
+    """Strings of names: random, periodic, of few kinds and of many."""
+    rng = random.Random(24)
+    for k in range(500):
+        names = [rng.randint(0, rng.choice([1, 2, 5, 60])) for _ in range(rng.randint(0, 60))]
+        names = names[: max(1, len(names) // 5)] * 5 if k % 4 == 0 else names
+        assert suffixes.sort_names(np.array(names, np.int64)).tolist() == sorted(range(len(names)), key=lambda i: names[i:])
+
+
 # Pipeline --------------------------------------------------------------------------------------------------------------
 
 
