@@ -137,20 +137,22 @@ def _ranked(symbols: np.ndarray, which: np.ndarray, last: np.ndarray) -> tuple[n
     begins = lambda new: np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     differs = lambda x: np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))
     order = which[np.argsort(symbols[which])]
+    sorted_key = symbols[order]
     rank = np.full(n, -1)
-    rank[order] = begins(differs(symbols[order]))
+    rank[order] = begins(differs(sorted_key))
+    at, place = np.arange(len(order)), order
     while True:
-        sorted_rank = rank[order]
-        tied = sorted_rank[1:] == sorted_rank[:-1]
-        at = np.flatnonzero(np.concatenate((tied, [False])) | np.concatenate(([False], tied)))
-        place = order[at]
+        tied = sorted_key[1:] == sorted_key[:-1]
+        again = np.flatnonzero(np.concatenate((tied, [False])) | np.concatenate(([False], tied)))
+        at, place = at[again], place[again]
         goes_on = place + step <= last[place]
         if not goes_on.any():
             return order, rank
         key = rank[place] * (n + 1) + np.where(goes_on, rank[np.minimum(place + step, n - 1)] + 1, 0)
-        again = np.argsort(key)
-        place = order[at] = place[again]
-        rank[place] = at[begins(differs(key[again]))]
+        by_key = np.argsort(key)
+        place, sorted_key = place[by_key], key[by_key]
+        order[at] = place
+        rank[place] = at[begins(differs(sorted_key))]
         step *= 2
 
 
