@@ -127,11 +127,13 @@ def _same(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
     return out
 
 
-def _ranked(symbols: np.ndarray, which: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ranked(symbols: np.ndarray, which: np.ndarray, last: np.ndarray, doubling: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The positions ``which`` in the order of their strings, and ranks that only equal strings share.
 
     A position's string is the symbols from it to ``last``. Ranks by one symbol are
-    joined to ranks by two, four and so on; only members of ties are looked at again.
+    joined to ranks by two, four and so on, for which ``which`` must hold every
+    position of the strings; without ``doubling`` to one symbol after the other.
+    Only members of ties are looked at again.
     """
     n, step = len(symbols), 1
     begins = lambda new: np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
@@ -140,6 +142,7 @@ def _ranked(symbols: np.ndarray, which: np.ndarray, last: np.ndarray) -> tuple[n
     sorted_key = symbols[order]
     rank = np.full(n, -1)
     rank[order] = begins(differs(sorted_key))
+    next_one, most = (rank, n + 1) if doubling else (symbols + 1, int(symbols.max()) + 3)
     at, place = np.arange(len(order)), order
     while True:
         tied = sorted_key[1:] == sorted_key[:-1]
@@ -148,12 +151,12 @@ def _ranked(symbols: np.ndarray, which: np.ndarray, last: np.ndarray) -> tuple[n
         goes_on = place + step <= last[place]
         if not goes_on.any():
             return order, rank
-        key = rank[place] * (n + 1) + np.where(goes_on, rank[np.minimum(place + step, n - 1)] + 1, 0)
+        key = rank[place] * most + np.where(goes_on, next_one[np.minimum(place + step, n - 1)] + 1, 0)
         by_key = np.argsort(key)
         place, sorted_key = place[by_key], key[by_key]
         order[at] = place
         rank[place] = at[begins(differs(sorted_key))]
-        step *= 2
+        step = 2 * step if doubling else step + 1
 
 
 def _induced(names: np.ndarray, smaller: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -200,7 +203,7 @@ def sort_names(names: np.ndarray) -> np.ndarray:
         last = np.append(starts[1:], n)[np.maximum(np.searchsorted(starts, np.arange(n), "right") - 1, 0)]
         last[starts] = np.append(starts[1:], n)
         symbols = np.append(names.astype(np.int64) * 2 + smaller, -1)
-        _, rank = _ranked(symbols, np.arange(starts[0], n + 1), np.append(last, n))
+        _, rank = _ranked(symbols, starts, np.append(last, n), doubling=False)
         starts = starts[sort_names(np.unique(rank[starts], return_inverse=True)[1].reshape(-1))]
     return _induced(names.astype(np.int64), smaller, starts)
 
