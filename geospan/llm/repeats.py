@@ -1,9 +1,11 @@
 """Suffix-array dedup: bytes covered by a long string that an earlier document also holds.
 
 Documents are packed into blocks of a few megabytes, a long one in pieces, and
-consecutive blocks into groups. Each window of ``size`` bytes is named by its
-least hash of ``GRAM`` bytes (its minimiser), so that equal windows, wherever they
-are, get the same name; a run of windows with one name is a *stretch* of text.
+consecutive blocks into groups. Each window of ``size`` bytes has a gram of
+``GRAM`` bytes with the least hash (its minimiser). At least half of its other bytes
+are on one side of that gram; so many of them, next to the gram, and the gram itself
+are what it is named by. So equal windows, wherever they are, get the same name, and
+texts that share a few words do not; a run of windows with one name is a *stretch* of text.
 Names are dealt to ranges of their hash. Three exchanges, all of packed arrays:
 
 1. Groups send the names they hold, once each, to the ranges. A range answers
@@ -26,6 +28,7 @@ hints and places only: what is removed has been compared byte by byte.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -46,17 +49,18 @@ SIZE, GRAM = 50, 16
 #: Bytes of text in a block or a piece, windows named at once, and different stretches from which a name is hot.
 BLOCK_BYTES, AT_ONCE, HOT = 1_500_000, 400_000, 4096
 #: Least and most bytes of text of a group and for each range, and names that a message should hold.
-GROUP_BYTES, RANGE_BYTES, MOST_BYTES, MESSAGE = 3_000_000, 3_000_000, 24_000_000, 64
+GROUP_BYTES, RANGE_BYTES, MOST_BYTES, MESSAGE = 3_000_000, 3_000_000, 16_000_000, 512
 #: Stretches of one name in a group from which their differences are counted.
 COUNTED = 32
 #: Bytes of text for each name, on average.
-SIZE_OF_NAME = 18
+SIZE_OF_NAME = 10
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _NEVER = np.iinfo(np.int64).max
 
 
+@functools.cache
 def _codec():
     return pa.Codec("zstd", 1)
 
@@ -152,16 +156,51 @@ def _spread(least: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(30))
 
 
-def _tie_bits(size: int) -> np.uint64:
-    """Low bits of a gram's hash that make room for its place within a window."""
-    return np.uint64((size - min(GRAM, size)).bit_length())
+def _words_of(data: np.ndarray, size: int) -> np.ndarray:
+    """The eight bytes from each place at which a window has so many, without copies where that can be."""
+    return np.ndarray(len(data) - 7, "<u8", data.data, strides=(1,)) if size >= 8 and len(data) >= 8 else words_at(data)
+
+
+def _place_bits(size: int) -> np.uint64:
+    """Low bits of a gram's hash that make room for its place among those named at once."""
+    return np.uint64((AT_ONCE + size).bit_length())
+
+
+def _half(size: int) -> int:
+    """Bytes before its least gram from which a window is named with bytes before it, not behind it."""
+    return (size - min(GRAM, size) + 1) // 2
+
+
+def _named(words: np.ndarray, starts: np.ndarray, grams: np.ndarray, size: int) -> np.ndarray:
+    """The name of each window: a hash of its least gram and of the bytes next to it that all windows have with most of theirs on that side."""
+    gram, half = min(GRAM, size), _half(size)
+    before = grams - starts >= max(half, 1)
+    names = np.empty(len(grams), np.uint64)
+    for side, shift, length in ((True, half, gram + half), (False, 0, size - max(half, 1) + 1)):
+        names[before == side] = _hash_of(words, (grams - shift)[before == side], length)
+    return _spread(names)
+
+
+def _hash_of(words: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """A hash of all of the ``length`` bytes from each place."""
+    if length < 8:
+        short = words[places] & np.uint64((1 << (8 * length)) - 1)
+        return _hashed(short, short)
+    total = np.zeros(len(places), np.uint64)
+    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        total = (total ^ words[places + at]) * _M
+        total ^= total >> np.uint64(32)
+    return total
 
 
 def _cut(data: np.ndarray, sizes: np.ndarray, known: list[bool], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, end of windows and place of the least gram of each stretch; a window is named by where it starts.
+    """First window, end of windows and place of the first one's least gram of each stretch.
 
     The hash's low bits are replaced by the place, so that the least one tells
-    where it is; the rest of the hash is what names are made of.
+    where it is: of equal hashes the leftmost, in all equal windows alike. Windows
+    of one gram are cut where half of their other bytes are before it. In periodic
+    text, where each window has a gram of its own, neighbours of one name are put
+    together again, at most as many as can share a gram.
     """
     n = len(data) - size + 1
     if n < 1:
@@ -173,7 +212,7 @@ def _cut(data: np.ndarray, sizes: np.ndarray, known: list[bool], size: int) -> t
             usable[a] += 1
             usable[b - size + 1] -= 1
     usable = np.cumsum(usable[:-1]) > 0
-    gram, bits = min(GRAM, size), _tie_bits(size)
+    gram, bits, half = min(GRAM, size), _place_bits(size), _half(size)
     per_window, mask = size - gram + 1, (np.uint64(1) << bits) - np.uint64(1)
     changes, values = [], []
     for at in range(0, n, AT_ONCE):
@@ -181,7 +220,7 @@ def _cut(data: np.ndarray, sizes: np.ndarray, known: list[bool], size: int) -> t
         h = _gram_hashes(data[at : at + count + size - 1], gram)
         h >>= bits
         h <<= bits
-        h |= np.arange(at, at + len(h), dtype=np.uint64) & mask
+        h |= np.arange(len(h), dtype=np.uint64)
         least, reach = h, 1
         while 2 * reach <= per_window:
             least = np.minimum(least[:-reach], least[reach:])
@@ -190,12 +229,21 @@ def _cut(data: np.ndarray, sizes: np.ndarray, known: list[bool], size: int) -> t
             least = np.minimum(least[: len(least) - (per_window - reach)], least[per_window - reach :])
         new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (usable[at + 1 : at + count] != usable[at : at + count - 1]))))
         changes.append(new + at)
-        values.append((least[new] & mask).astype(np.int64))
-    starts, place = np.concatenate(changes), np.concatenate(values)
+        values.append((least[new] & mask).astype(np.int64) + at)
+    starts, grams = np.concatenate(changes), np.concatenate(values)
     ends = np.concatenate((starts[1:], [n]))
     good = usable[starts]
-    starts, ends, place = starts[good], ends[good], place[good]
-    return starts, ends, starts + (place - starts) % (int(mask) + 1)
+    starts, ends, grams = starts[good], ends[good], grams[good]
+    # From where on fewer than half of a window's other bytes are before its gram.
+    turn = np.clip(grams - max(half, 1) + 1, starts, ends)
+    starts, ends, grams = np.stack((starts, turn), axis=1).reshape(-1), np.stack((turn, ends), axis=1).reshape(-1), np.repeat(grams, 2)
+    some = ends > starts
+    starts, ends, grams = starts[some], ends[some], grams[some]
+    if not len(starts):
+        return starts, ends, grams
+    names = _named(_words_of(data, size), starts, grams, size)
+    apart = np.concatenate(([True], (names[1:] != names[:-1]) | (starts[1:] != ends[:-1]) | (starts[1:] // per_window != starts[:-1] // per_window)))
+    return starts[apart], ends[np.concatenate((apart[1:], [True]))], grams[apart]
 
 
 def _cuts_out(starts: np.ndarray, ends: np.ndarray, grams: np.ndarray) -> bytes:
@@ -220,18 +268,9 @@ class Block:
         self.data, self.size = np.frombuffer(_unpack(row["data"]), np.uint8), size
         self.first = np.concatenate(([0], np.cumsum(self.sizes)))
         self.starts, self.ends, grams = _cuts_in(_unpack(row["cuts"]))
-        self.names = self._names(grams)
+        self.names = _named(_words_of(self.data, size), self.starts, grams, size)
         self.document = self.ids[np.searchsorted(self.first, self.starts, "right") - 1]
 
-    def _names(self, grams: np.ndarray) -> np.ndarray:
-        gram, bits = min(GRAM, self.size), _tie_bits(self.size)
-        if gram < 8 or not len(grams):
-            h = _gram_hashes(self.data, gram)[grams]
-        else:
-            words = np.ndarray(len(self.data) - 7, "<u8", self.data.data, strides=(1,))  # the eight bytes from each place
-            h = _hashed(words[grams], words[grams + gram - 8])
-        return _spread(h >> bits << bits)
-
     def ends_differ(self) -> np.ndarray:
         """For each stretch a number that tells apart most stretches of one name: of its length and its first and last bytes."""
         words = words_at(self.data)
@@ -240,13 +279,7 @@ class Block:
 
     def window_names(self, windows: np.ndarray) -> np.ndarray:
         """A hash of all bytes of each window."""
-        if self.size <= GRAM:
-            return _spread(_gram_hashes(self.data, self.size)[windows])
-        words, total = words_at(self.data), np.zeros(len(windows), np.uint64)
-        for at in [*range(0, self.size - 7, 8), self.size - 8]:
-            total = (total ^ words[windows + at]) * _M
-            total ^= total >> np.uint64(32)
-        return _spread(total)
+        return _spread(_hash_of(_words_of(self.data, self.size), windows, self.size))
 
 
 def _slices(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -457,14 +490,16 @@ def _send_contents(packed: DataFrame, marks: DataFrame, size: int, ranges: int)
 
 def _share_names(texts: list[bytes], size: int) -> np.ndarray:
     """Which contents have the name of another one."""
-    gram = min(GRAM, size)
+    gram, bits = min(GRAM, size), _place_bits(size)
     first = np.cumsum([0, *(len(t) for t in texts[:-1])])
-    h = _gram_hashes(np.frombuffer(b"".join(texts), np.uint8), gram)
-    names = h[first].copy()
-    for i in range(1, size - gram + 1):
-        np.minimum(names, h[first + i], out=names)
-    _, place, count = np.unique(names >> _tie_bits(size), return_inverse=True, return_counts=True)
-    return count[place] > 1
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    h = _gram_hashes(data, gram)
+    least = np.full(len(first), np.iinfo(np.uint64).max)
+    for i in range(size - gram + 1):
+        np.minimum(least, h[first + i] >> bits << bits | np.uint64(i), out=least)
+    grams = first + (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    _, place, count = np.unique(_named(_words_of(data, size), first, grams, size), return_inverse=True, return_counts=True)
+    return count[place.reshape(-1)] > 1
 
 
 def smallest_documents(texts: list[bytes], least: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -483,13 +518,13 @@ def smallest_documents(texts: list[bytes], least: np.ndarray, size: int) -> tupl
     here = np.where(np.cumsum(window[:-1]) > 0, here, _NEVER)
     words = words_at(text)
     array = suffix_array(text, words)
+    array = array[here[array] != _NEVER]  # equal windows stay neighbours without what is between texts
     same = common_with_previous(words, array, size)
     groups = np.flatnonzero(~same)
-    by_rank = here[array]
-    low = np.minimum.reduceat(by_rank, groups)
-    out = np.empty(len(text), np.int64)
+    low = np.minimum.reduceat(here[array], groups)
+    out = np.full(len(text), _NEVER)
     out[array] = np.repeat(low, np.diff(np.concatenate((groups, [len(array)]))))
-    return np.where(here == _NEVER, _NEVER, out), first
+    return out, first
 
 
 def _answer_contents(sent: DataFrame, size: int, partitions: int) -> DataFrame:

@@ -13,6 +13,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Pairs of places compared at once.
+AT_ONCE = 1 << 16
+
 
 def classify(text: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one; the end counts as smallest."""
@@ -109,7 +112,9 @@ def words_at(text: np.ndarray) -> np.ndarray:
 
 
 def _same(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether ``size`` bytes from a and from b agree."""
+    """Whether ``size`` bytes from a and from b agree; a part at a time, so that what lies between stays small."""
+    if len(a) > AT_ONCE:
+        return np.concatenate([_same(words, *(x[at : at + AT_ONCE] for x in (a, b, size))) for at in range(0, len(a), AT_ONCE)])
     out = np.ones(len(a), bool)
     todo, at = np.arange(len(a)), 0
     n = len(words)
@@ -240,12 +245,12 @@ def suffix_array(text: np.ndarray, words: np.ndarray | None = None) -> np.ndarra
 
 
 def common_with_previous(words: np.ndarray, array: np.ndarray, size: int) -> np.ndarray:
-    """By rank: whether ``size`` bytes agree with the suffix before it.
+    """By rank: whether ``size`` bytes agree with the suffix before it; ``array`` may leave suffixes out.
 
     The common prefixes are found in the order of the text (permuted), where
     neighbours in the text look at neighbours in memory.
     """
-    n = len(array)
+    n = len(words)
     before = np.full(n, -1, np.int64)
     before[array[1:]] = array[:-1]
     there = np.flatnonzero(before >= 0)

@@ -739,6 +739,40 @@ def test_repeats_of_hot_names_and_long_texts(spark):
     assert sorted((r.doc_id is None, r.doc_id, r.n_bytes, r.n_removed) for r in repeats.repeated_bytes(odd, block_bytes=100).collect()) == [(False, 0, 0, 0), (False, 1, 300, 0), (False, 2, 0, 0), (False, 2, 0, 0), (True, None, 300, 0)]
 
 
+def test_repeats_send_little_of_texts_of_few_words(spark):
+    """Texts of the same words in another order share short strings, but no long ones: they don't go to the suffix arrays, however many there are."""
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    made = [(i, " ".join(rng.choice(words) for _ in range(200))) for i in range(800)]
+    made += [(1000 + i, made[i][1][100:400] + made[i + 20][1]) for i in range(10)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(2)
+    packed = repeats.pack_blocks(df, "doc_id", "text", 50, 100_000, 200_000)
+    marks = repeats._answer_names(repeats._send_names(packed, 50, 5, 32), 3, repeats.HOT)
+    sent = sum(int(np.frombuffer(r.sizes, "<u4").sum()) for r in repeats._send_contents(packed, marks, 50, 5).collect())
+    assert 0 < sent < 0.5 * sum(len(t) for _, t in made)
+    found = repeats.repeated_bytes(df, block_bytes=100_000, group_bytes=200_000, shards=5).collect()
+    assert sorted(tuple(r) for r in found) == plain_removed(made)
+
+
+@pytest.mark.parametrize("size", [50, 20, 17, 16, 9, 5, 1])
+def test_equal_windows_have_one_name(monkeypatch, size):
+    """Wherever they are: in random and periodic texts, and over the border of what is named at once."""
+    monkeypatch.setattr(repeats, "AT_ONCE", 150)
+    rng = random.Random(size)
+    some = bytes(rng.choice(b"abc ") for _ in range(300))
+    texts = [some, b"x" * 11 + some, some[90:] + b"yz" + some[:120], b"a" * 400, b"b" + b"a" * 333, b"ab" * 150, b"abcab" * 70, some[:23] * 9, some[:40] * 7, b"q" * size, b""]
+    data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    starts, ends, grams = repeats._cut(data, sizes, [True] * len(texts), size)
+    names, found, first = repeats._named(repeats._words_of(data, size), starts, grams, size), {}, np.concatenate(([0], np.cumsum(sizes)))
+    for a, b, name in zip(starts.tolist(), ends.tolist(), names.tolist(), strict=True):
+        for at in range(a, b):
+            assert found.setdefault(data[at : at + size].tobytes(), name) == name
+    windows = [at for a, b in zip(starts.tolist(), ends.tolist(), strict=True) for at in range(a, b)]
+    assert windows == [at for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True) for at in range(a, b - size + 1)]
+    if size == 50:
+        assert len(starts) < len(windows) / 4  # periodic texts are no single windows
+
+
 def brute_digests(name, text):
     """The digest columns of the queries, from the plain versions."""
     if name == "op1_pii":
