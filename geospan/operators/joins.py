@@ -44,3 +44,29 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
     spans = intervals.where(F.col(start) <= F.col(end)).select(*(F.col(c).alias(f"r_{c}") for c in intervals.columns)).withColumn("_cell", cells).withColumns({c: F.col(f"r_{c}") for c in by})
     pairs = points.withColumn("_cell", F.floor(F.col(at) / width)).join(spans, ["_cell", *by])
     return pairs.where(F.col(at).between(F.col(f"r_{start}"), F.col(f"r_{end}"))).drop("_cell")
+
+
+def interval_counts(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, width: float, by: list[str], of: str) -> DataFrame:
+    """``of, n``: how many points the intervals of each value of ``of`` hold, ends included; values without any are left out.
+
+    No pair is formed: of a cell of ``width`` the points are counted in order up
+    to each end and up to before each start, and the counts of the cells before it
+    are carried, of which there is one each. Points at one place are one row.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    own = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
+    place = lambda c: F.col(c).cast("double").alias("_t")
+    none = F.lit(None).cast(intervals.schema[of].dataType).alias("_of")
+    held = points.where(F.col(at).isNotNull()).groupBy(*own, place(at)).agg(F.count("*").alias("_m")).select(*keys, "_t", F.lit(1).alias("_turn"), "_m", F.lit(0).alias("_sign"), none)
+    spans = intervals.where(F.col(start) <= F.col(end))
+    ends = [spans.select(*own, place(c), F.lit(turn).alias("_turn"), F.lit(0).cast("long").alias("_m"), F.lit(sign).alias("_sign"), F.col(of).alias("_of")) for c, turn, sign in ((start, 0, -1), (end, 2, 1))]
+    # NaN is the largest number, here as in comparisons.
+    cell = F.when(F.isnan("_t"), F.lit(2**63 - 1)).otherwise(F.floor(F.col("_t") / width))
+    every = held.unionByName(ends[0]).unionByName(ends[1]).withColumn("_cell", cell)
+    for k in keys:
+        every = every.where(F.col(k).isNotNull())
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.groupBy(*keys, "_cell").agg(F.sum("_m").alias("_all")).select(*keys, "_cell", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_t", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    counted = every.withColumn("_up", F.sum("_m").over(inside)).where("_turn <> 1").join(carried, [*keys, "_cell"])
+    return counted.groupBy(F.col("_of").alias(of)).agg(F.sum(F.col("_sign") * (F.col("_up") + F.col("_carry"))).alias("n")).where("n > 0")

@@ -444,3 +444,24 @@ def test_joins_by_order(spark):
         pairs = sorted((x.id, x.r_n) for x in joins.interval_join(l, spans, "t", "a", "b", width).collect())
         assert pairs == sorted((i, n) for i, _, t in left if t is not None for _, a, n in right if a <= t <= a + n % 9)
     assert joins.asof_join(l.limit(0), r, "t", ["k"], 1.0).count() == 0 and joins.asof_join(l, r.limit(0), "t", ["k"], 1.0).where("r_n IS NOT NULL").count() == 0
+
+
+def test_interval_counts(spark):
+    """As many as there are pairs, with null, equal and infinite places, and without a row for each pair."""
+    rng = np.random.default_rng(9)
+    odd = [None, float("inf"), float("-inf"), float("nan")]
+    places = lambda n: [odd[i] if i < 4 else float(t) for i, t in enumerate(rng.integers(-20, 60, n))]
+    points = [(int(k) if k < 3 else None, t) for k, t in zip(rng.integers(0, 4, 150), places(150), strict=True)]
+    spans = [(i % 70, int(k) if k < 3 else None, a, b) for i, (k, a, b) in enumerate(zip(rng.integers(0, 4, 90), places(90), rng.permutation(np.array(places(90), object)), strict=True))]
+    p, s = spark.createDataFrame(points, "k int, t double"), spark.createDataFrame(spans, "n int, k int, a double, b double")
+    order = lambda t: (math.isnan(t), 0 if math.isnan(t) else t)
+    wanted: dict = {}
+    for n, k, a, b in spans:
+        if k is not None and a is not None and b is not None:
+            m = sum(order(a) <= order(t) <= order(b) for j, t in points if j == k and t is not None)
+            wanted[n] = wanted.get(n, 0) + m
+    for width in (1.0, 7.0, 1000.0):
+        assert {r.n: r.m for r in joins.interval_counts(p, s.withColumnRenamed("n", "id"), "t", "a", "b", width, ["k"], "id").selectExpr("id AS n", "n AS m").collect()} == {n: m for n, m in wanted.items() if m}
+    # 4e10 pairs
+    wide = spark.range(200_000).selectExpr("id", "0 AS k", "id % 1000 AS a", "id % 1000 + 1000 AS b")
+    assert joins.interval_counts(wide, wide, "a", "a", "b", 64.0, ["k"], "id").agg({"n": "sum"}).first()[0] == 200_000 * 200 * 1001 // 2
