@@ -90,37 +90,64 @@ def onnx_scores(df: DataFrame, model: bytes, vector: str, key: str) -> DataFrame
     return df.select(F.col(key).cast("long").alias(key), vector).mapInPandas(run, ddl)
 
 
+def _parts(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """For pixels in order of row and column, without repeats: the index of the first pixel of the 4-connected part of each."""
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    begins = np.r_[True, (np.diff(rows) != 0) | (np.diff(cols) != 1)]
+    first, run = np.flatnonzero(begins), np.cumsum(begins) - 1
+    # The pixel below: rows and columns of a block as one number.
+    low, wide = int(cols.min()), int(cols.max() - cols.min()) + 2
+    at = (rows - rows[0]) * wide + (cols - low)
+    below = np.searchsorted(at, at + wide)
+    hit = np.flatnonzero(at[np.minimum(below, len(at) - 1)] == at + wide)
+    u, v, root = run[hit], run[below[hit]], np.arange(len(first))
+    while True:
+        a, b = root[u], root[v]
+        if (a == b).all():
+            return first[root[run]]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+
+
 def small_objects_removed(df: DataFrame, least: int = 100, value: str = "mask", band: int = 512) -> DataFrame:
     """A mask without 4-connected parts of ``least`` pixels or fewer.
 
-    Runs of set pixels in a row are the nodes, so that labels travel along rows
-    at once; runs that touch in neighbouring rows are the edges, found by an
-    equi-join on the row and the bands of ``band`` columns that runs cross, and the
-    least label is passed on with pointer jumping until nothing changes.
+    The raster is cut into blocks of ``band`` by ``band`` pixels, whose parts are
+    found in one task each. Parts that touch across the edges of blocks, of which
+    there are few, are joined by large and small stars over tables.
     """
-    from pyspark.sql import Window
-
     from geospan.checkpoints import saved as _saved
-
-    line = Window.partitionBy("row").orderBy("col")
-    on = df.where(F.col(value) > 0).withColumn("_g", F.col("col") - F.row_number().over(line))
-    runs = _saved(on.groupBy("row", "_g").agg(F.min("col").alias("a"), F.max("col").alias("b"), F.count("*").alias("n")).withColumn("id", F.struct("row", "a")))
-    bands = runs.withColumn("band", F.explode(F.sequence(F.floor(F.col("a") / band), F.floor(F.col("b") / band))))
-    x, y = bands.alias("x"), bands.withColumn("row", F.col("row") - 1).alias("y")
-    meet = (F.col("x.a") <= F.col("y.b")) & (F.col("y.a") <= F.col("x.b")) & (F.floor(F.greatest("x.a", "y.a") / band) == F.col("x.band"))  # in the band where both are for the first time
-    touch = x.join(y, (F.col("y.row") == F.col("x.row")) & (F.col("x.band") == F.col("y.band"))).where(meet).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
-    edges = _saved(touch.unionByName(touch.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = _saved(runs.select("id", F.col("id").alias("label"), "n"))
-    while True:
-        near = edges.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        low = labels.join(near, labels["id"] == near["u"], "left").select("id", "n", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        jumped = low.alias("p").join(low.select(F.col("id").alias("q"), F.col("label").alias("further")), F.col("p.label") == F.col("q")).select("p.id", "p.n", "p.old", F.least("p.label", "further").alias("label"))
-        jumped = _saved(jumped)
-        changed = jumped.where(F.col("label") < F.col("old")).limit(1).count()
-        labels = jumped.select("id", "label", "n")
-        if not changed:
-            break
-    sizes = labels.groupBy("label").agg(F.sum("n").alias("size"))
-    kept = runs.join(labels.select("id", "label"), "id").join(sizes, "label").where(F.col("size") > least).select(F.col("row").alias("_r"), F.col("_g").alias("_k"))
-    good = on.join(kept, (on["row"] == kept["_r"]) & (on["_g"] == kept["_k"])).select(on["row"], on["col"], F.lit(1).alias("_on"))
-    return df.join(good, ["row", "col"], "left").select("row", "col", F.coalesce("_on", F.lit(0)).alias(value))
+    from geospan.components import components
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c in ("row", "col")}
+
+    def run(pdf):
+        pdf = pdf.sort_values(["row", "col"], kind="stable", ignore_index=True)
+        rows, cols = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        own = pdf["on"].to_numpy().nonzero()[0]
+        new = np.r_[True, (np.diff(rows[own]) != 0) | (np.diff(cols[own]) != 0)][: len(own)]
+        once = own[new]
+        part = once[_parts(rows[once].astype(np.int64), cols[once].astype(np.int64))] if len(own) else own
+        first = np.full(len(pdf), -1)
+        first[own] = part[np.cumsum(new) - 1]
+        return pdf.assign(prow=np.where(first < 0, 0, rows[first]), pcol=np.where(first < 0, 0, cols[first]), on=first >= 0)
+
+    whole = (F.col("row").isNotNull()) & F.col("col").isNotNull()
+    block = [F.floor(F.col(c) / band).alias(f"_{c}") for c in ("row", "col")]
+    pixels = df.select("row", "col", F.coalesce(F.col(value) > 0, F.lit(False)).alias("on"))
+    ddl = f"row {kinds['row']}, col {kinds['col']}, on boolean, prow long, pcol long"
+    labelled = _saved(pixels.where(whole).groupBy(*block).applyInPandas(run, ddl).select("row", "col", F.when(F.col("on"), F.struct("prow", "pcol")).alias("part")))
+    on = labelled.where("part IS NOT NULL")
+    touch = None
+    for axis, other in (("row", "col"), ("col", "row")):
+        here = on.where(F.pmod(axis, F.lit(band)) == band - 1).select((F.col(axis) + 1).alias(axis), other, F.col("part").alias("u"))
+        pairs = here.join(on.where(F.pmod(axis, F.lit(band)) == 0).select("row", "col", F.col("part").alias("v")), ["row", "col"]).select("u", "v")
+        touch = pairs if touch is None else touch.unionByName(pairs)
+    joined = components(touch)
+    sizes = _saved(on.groupBy("part").agg(F.countDistinct("row", "col").alias("n")).join(joined.withColumnRenamed("node", "part"), "part", "left").withColumn("component", F.coalesce("component", "part")))
+    large = sizes.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("component")
+    kept = sizes.join(large, "component", "left_semi").select("part", F.lit(1).alias("_on"))
+    out = labelled.join(kept, "part", "left").select("row", "col", F.coalesce("_on", F.lit(0)).alias(value))
+    return out.unionByName(pixels.where(~whole).select("row", "col", F.lit(0).alias(value)))

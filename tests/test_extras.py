@@ -465,3 +465,30 @@ def test_interval_counts(spark):
     # 4e10 pairs
     wide = spark.range(200_000).selectExpr("id", "0 AS k", "id % 1000 AS a", "id % 1000 + 1000 AS b")
     assert joins.interval_counts(wide, wide, "a", "a", "b", 64.0, ["k"], "id").agg({"n": "sum"}).first()[0] == 200_000 * 200 * 1001 // 2
+
+
+def test_parts_over_blocks(spark):
+    """Against a flood fill, near the share of pixels at which parts wind most; null, repeated and negative pixels."""
+    rng = np.random.default_rng(10)
+    mask = (rng.random((70, 41)) < 0.6).astype(int)
+    size, seen = np.zeros(mask.shape, int), np.zeros(mask.shape, bool)
+    for start in zip(*mask.nonzero(), strict=True):
+        if not seen[start]:
+            part, todo = [], [start]
+            seen[start] = True
+            while todo:
+                r, c = todo.pop()
+                part.append((r, c))
+                for p in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                    if 0 <= p[0] < 70 and 0 <= p[1] < 41 and mask[p] and not seen[p]:
+                        seen[p] = True
+                        todo.append(p)
+            for p in part:
+                size[p] = len(part)
+    given = grid_of(spark, mask, "mask")
+    for band, least in ((8, 3), (8, 20), (16, 200), (512, 3)):
+        assert (array_of(inference.small_objects_removed(given, least, band=band), "mask", mask.shape) == (size > least)).all()
+    moved = given.selectExpr("row - 33 AS row", "col - 20 AS col", "mask")
+    odd = moved.unionByName(moved.where("row = 0")).unionByName(spark.createDataFrame([(None, 1, 1.0), (900, 900, None)], "row long, col long, mask double"))
+    found = inference.small_objects_removed(odd, 3, band=8).collect()
+    assert len(found) == 70 * 41 + 41 + 2 and sum(r["mask"] for r in found) == (size > 3).sum() + (size[33] > 3).sum()
