@@ -492,3 +492,68 @@ def test_parts_over_blocks(spark):
     odd = moved.unionByName(moved.where("row = 0")).unionByName(spark.createDataFrame([(None, 1, 1.0), (900, 900, None)], "row long, col long, mask double"))
     found = inference.small_objects_removed(odd, 3, band=8).collect()
     assert len(found) == 70 * 41 + 41 + 2 and sum(r["mask"] for r in found) == (size > 3).sum() + (size[33] > 3).sum()
+
+
+def test_statistics_over_places(spark):
+    """Points at one place, with one id, without a place: against all pairs."""
+    rng = np.random.default_rng(11)
+    rows = [(i if i < 190 else 7, float(a), float(b), float(v)) for i, (a, b, v) in enumerate(zip(rng.integers(0, 9, 200), rng.integers(0, 7, 200), rng.normal(5, 3, 200), strict=True))]
+    df = spark.createDataFrame([*rows, (900, None, 1.0, 3.0), (901, float("nan"), 1.0, 4.0)], "id long, x double, y double, v double")
+    k, x, y, v = np.array(rows).T
+    d = np.hypot(x[:, None] - x, y[:, None] - y)
+    other = k[:, None] != k
+    found = sorted((r.a, r.b, round(r.d, 9)) for r in K.near_pairs(df, 2.5).collect())
+    assert found == sorted((int(k[i]), int(k[j]), round(float(d[i, j]), 9)) for i, j in zip(*np.nonzero((d <= 2.5) & other), strict=True))
+    upper = np.triu(np.ones(d.shape, bool), 1)
+    bins = {r.bin: r for r in K.variogram_bins(df, 4, 6.0).collect()}
+    for b in range(4):
+        taken = upper & (d <= 6) & (np.maximum(0, np.ceil(d / 1.5) - 1) == b)
+        assert bins[b].pairs == taken.sum() and bins[b].gamma == pytest.approx((0.5 * (v[:, None] - v) ** 2)[taken].mean())
+    assert K.mean_distance(df) == pytest.approx(d[upper].mean())
+    near, mean = (d <= 2.5) & other, np.array([*v, 3.0, 4.0])
+    geary = K.gearys_c(df, 2.5).first()
+    assert geary.statistic == pytest.approx(201 * ((v[:, None] - v) ** 2)[near].sum() / (2 * near.sum() * ((mean - mean.mean()) ** 2).sum()))
+    single = df.where("id <> 7 AND x IS NOT NULL AND NOT isnan(x)")
+    own = k != 7
+    near, z = near[own][:, own], v[own] - v[own].mean()
+    w = near / near.sum(1, keepdims=True)
+    moran = K.morans_i(single, 2.5).first()
+    assert moran.statistic == pytest.approx(len(z) / w.sum() * (z @ w @ z) / (z @ z))
+
+
+def test_finer_cells(spark):
+    """Crowded points are joined over finer cells and in shares; the pairs stay the same."""
+    df = spark.range(3000).selectExpr("id", "double(id * 37 % 101) / 10 AS x", "double(id * 53 % 97) / 10 AS y", "double(id) AS v")
+    assert K._fineness(df, 2.0)[0] == 1 and K._fineness(df, 10.0)[0] > 1
+    at = df.toPandas()
+    for distance in (2.0, 10.0):
+        d = np.sqrt((at.x.to_numpy()[:, None] - at.x.to_numpy()) ** 2 + (at.y.to_numpy()[:, None] - at.y.to_numpy()) ** 2)
+        assert K.near_pairs(df, distance).count() == (d <= distance).sum() - 3000
+
+
+def test_kriging_over_blocks(spark):
+    """Many samples, some at one place, against the one system of all; more of them than fit one system on the driver."""
+    rng = np.random.default_rng(12)
+    rows = [(i, float(a), float(b), float(v)) for i, (a, b, v) in enumerate(zip(rng.integers(0, 20, 300), rng.integers(0, 20, 300), rng.normal(5, 3, 300), strict=True))]
+    known = spark.createDataFrame([*rows, (900, 1.0, 1.0, None)], "id long, x double, y double, v double")
+    targets = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-2, 22, (40, 2)))] + [(100, 3.0, 3.0), (101, None, 1.0)], "id long, x double, y double")
+    _, x, y, v = np.array(rows).T
+    for kind in ("exponential", "spherical", "linear"):
+        fitted = K.Variogram(kind)
+        fitted.fitted = (0.5, 2.0, 7.0)
+        k = np.ones((301, 301))
+        k[:300, :300] = fitted.values(np.hypot(x[:, None] - x, y[:, None] - y))
+        k[300, 300] = 0
+        inverse = np.linalg.pinv(k, rcond=1e-10)
+        for direct, block in ((2048, 1024), (0, 64)):
+            found = {r.id: r for r in K.krige(known, targets, fitted, direct, block).collect()}
+            assert len(found) == 42
+            for t in targets.where("x IS NOT NULL").collect():
+                b = np.append(fitted.values(np.hypot(x - t.x, y - t.y)), 1.0)
+                w = inverse @ b
+                assert found[t.id].prediction == pytest.approx(w[:300] @ v, abs=1e-6) and found[t.id].variance == pytest.approx(w @ b, abs=1e-6)
+    fitted.fitted = (0.5, 0.0, 7.0)
+    assert K.krige(known, targets, fitted, 0).first().prediction == pytest.approx(v.mean())
+    many = spark.range(5001).selectExpr("id", "double(id % 80) AS x", "double(id div 80) AS y", "double(id % 7) AS v")
+    fitted.fitted = (0.5, 2.0, 7.0)
+    assert K.krige(many, many.where("id % 1000 = 3"), fitted).count() == 5
