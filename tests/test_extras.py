@@ -557,3 +557,20 @@ def test_kriging_over_blocks(spark):
     many = spark.range(5001).selectExpr("id", "double(id % 80) AS x", "double(id div 80) AS y", "double(id % 7) AS v")
     fitted.fitted = (0.5, 2.0, 7.0)
     assert K.krige(many, many.where("id % 1000 = 3"), fitted).count() == 5
+
+
+def test_suppression_of_the_best_first(spark):
+    """Large images by cuts of the confidence, with ties, NaN and null, and one whose confidences are all alike; the same rows as in one task."""
+    rng = np.random.default_rng(14)
+    odd = {5: None, 9: float("nan")}
+    low = rng.integers(0, 60, (900, 2))
+    rows = [(i, i % 3, odd.get(i, float(c) / 40) if i % 3 < 2 else 0.5, *map(float, (*a, *(a + b)))) for i, (c, a, b) in enumerate(zip(rng.integers(0, 40, 900), low, rng.integers(5, 25, (900, 2)), strict=True))]
+    df = spark.createDataFrame(rows, "id long, image long, conf double, x1 double, y1 double, x2 double, y2 double")
+    wanted = sorted(r.id for r in V.suppress(df).collect())
+    assert sorted(r.id for r in V.suppress(df, most=60).collect()) == wanted and len(wanted) < 850
+    # No pairs are joined where confidences differ.
+    before, V.suppress_in_rounds = V.suppress_in_rounds, None
+    try:
+        assert sorted(r.id for r in V.suppress(df.where("image < 2"), most=60).collect()) == [i for i in wanted if i % 3 < 2]
+    finally:
+        V.suppress_in_rounds = before
